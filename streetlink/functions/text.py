@@ -82,6 +82,14 @@ def is_blank(c: Column) -> Column:
     return c.rlike(r"^" + BLANK + r"*$")
 
 
+def settled(c: Column) -> Column:
+    """The same value, computed where it is written: later filters and projections
+    read the result instead of repeating the expression, which grows with each
+    stage of the grammar. (The optimizer does not move what depends on the
+    partition; the condition always holds.)"""
+    return F.when(F.spark_partition_id() >= 0, c)
+
+
 def unicode_strip(c: Column) -> Column:
     return F.regexp_replace(c, rf"^{BLANK}+|{BLANK}+$", "")
 

@@ -15,7 +15,7 @@ import sys
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import is_blank, lookup, or_null, spaced, strip_zeros, tidy, upper_folded
+from ..functions.text import is_blank, lookup, or_null, settled, spaced, strip_zeros, tidy, upper_folded
 from ..vocab import FIELDS, KINDS, MAX_PLATE_DIGITS, MAX_TAIL, OPAQUE_KIND, QUADRANT_LETTERS, QUADRANTS, SEGMENT, TWO_WORD_VIA_TYPES, VIA_TYPES, alternation
 
 _CUT = "\x01"
@@ -110,7 +110,7 @@ def parse(df: DataFrame, column: str, into: str = "parsed") -> DataFrame:
 
     df = df.withColumn(t("raw"), F.col(column).cast("string"))
     df = df.withColumn(t("folded"), spaced(upper_folded(c("raw"))))
-    df = df.withColumn(t("clean"), tidy(c("folded")))
+    df = df.withColumn(t("clean"), settled(tidy(c("folded"))))
     df = df.withColumn(t("hash"), F.when(c("clean").contains("#"), c("clean")).when(c("clean").rlike(_MISSING_HASH), F.regexp_replace(c("clean"), _MISSING_HASH, "$1 $2 # $3")))
     df = df.withColumn(t("via_text"), F.trim(F.substring_index(c("hash"), "#", 1))).withColumn(t("rest"), F.trim(F.regexp_replace(c("hash"), "^[^#]*#", "")))
     df = df.withColumns({
@@ -121,7 +121,7 @@ def parse(df: DataFrame, column: str, into: str = "parsed") -> DataFrame:
     df = df.withColumns({
         t("via_g"): F.split(F.regexp_replace(c("via_text"), _SEGMENT, groups), _CUT),
         t("cross_g"): F.when(c("cross_text") != "", F.split(F.regexp_replace(c("cross_text"), _SEGMENT, groups), _CUT)),
-        t("plate_g"): F.regexp_extract(c("after"), r"^([0-9]+(?![^ ])(?: [A-Z](?![^ ]))?)", 1),
+        t("plate_g"): settled(F.regexp_extract(c("after"), r"^([0-9]+(?![^ ])(?: [A-Z](?![^ ]))?)", 1)),
     })
     df = df.withColumns({
         t("plate"): or_null(F.regexp_replace(c("plate_g"), " ", "")),
@@ -158,18 +158,18 @@ def parse(df: DataFrame, column: str, into: str = "parsed") -> DataFrame:
             )),
         )),
     )
-    df = df.withColumn(t("note"), note)
+    df = df.withColumn(t("note"), settled(note))
     ok = c("note").isNull()
     fields = {f"{side}_{n}": x for side in ("via", "cross") for n, x in _segment(t(f"{side}_g")).items()}
     fields = {n: F.when(ok, x) if not n.endswith("_bis") else ok & x for n, x in fields.items()}
     fields["plate"] = F.when(ok, c("plate"))
     fields["complement"] = F.when(ok & (c("pieces") != ""), _chunks(c("pieces"))).otherwise(F.array().cast(_NO_CHUNKS))
     struct = F.struct(
-        c("raw").alias("raw"),
+        settled(c("raw")).alias("raw"),
         ok.alias("parse_ok"),
         F.when(ok, F.array().cast("array<string>")).otherwise(F.array(c("note"))).alias("notes"),
         *[fields[n].alias(n) for n in FIELDS],
-        F.when(ok, F.regexp_extract(c("plate"), "^([0-9]+)", 1).try_cast("int") if hasattr(Column, "try_cast") else F.expr("null")).alias("plate_num"),
+        F.when(ok, F.regexp_extract(c("plate"), "^([0-9]+)", 1).try_cast("int")).alias("plate_num"),
         F.when(ok, or_null(F.regexp_extract(c("plate"), "([A-Z]?)$", 1))).alias("plate_letter"),
     )
     return df.withColumn(into, struct).select(*own, into) if into not in own else df.withColumn(into, struct).select(*own)

@@ -136,7 +136,7 @@ def random_addresses(n, seed=3):
     def tail():
         out = []
         for _ in range(rnd.randint(0, 3)):
-            out.append(pick("AP", "APTO", "TORRE", "LT", "PH", "LOCAL", "SO", "8", "C", "BLQ") + " " + pick("", "0101", "1-2", "A", "A-1", "5B", "12 C", "1/2", "1103A-1"))
+            out.append(pick("AP", "APTO", "TORRE", "LT", "PH", "LOCAL", "SO", "8", "BLQ") + " " + pick("", "0101", "1-2", "A", "A-1", "5B", "12 C", "1/2", "1103A-1"))
         return " ".join(out)
 
     return [f"{segment(pick('CL', 'KR', 'AV', 'CALLE', 'AVENIDA CALLE', 'C', ''))} # {segment(pick('', '', 'AV', 'KR'))} - {pick('', str(rnd.randint(0, 130)), '080', '5A')} {tail()}" for _ in range(n)]
