@@ -13,6 +13,7 @@ from functools import lru_cache
 
 import numpy as np
 import regex
+import tiktoken
 
 #: The byte-level pre-tokenizer's pattern.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -59,6 +60,17 @@ class Vocabulary:
             a, b = m.split(" ") if isinstance(m, str) else m
             self.merges[vocab[a], vocab[b]] = (rank, vocab[a + b])
 
+    def plain(self) -> bool:
+        """Whether merging by the id of what comes out is the same as by the merge list.
+
+        It is if ids grow along the list, no token comes out of two merges, and
+        each token's own bytes spell just that token: then two neighbours whose
+        bytes are a token's can only be the two of its merge, since inside a
+        token's bytes the merges go as they do when it stands alone.
+        """
+        made = [new for _, new in self.merges.values()]
+        return all(a < b for a, b in zip(made, made[1:])) and all(self.spell(t) == [i] for t, i in self.ids.items())
+
     def spell(self, piece: bytes) -> list[int]:
         """The ids of a piece: of all pairs that may merge, the lowest rank first, leftmost first.
 
@@ -192,6 +204,7 @@ class Transducer:
 BORDER = regex.compile(r"\S(?=\s)")
 LAST_BORDER = regex.compile(r"(?r)\S(?=\s)")
 BLOCK = 1 << 20
+SHORT = 1 << 15
 
 
 def blocks(text: str, size: int = BLOCK):
@@ -245,11 +258,14 @@ class Encoder:
         self.find = regex.compile(PIECES).findall
         self.special = sorted(self.vocab.special, key=len, reverse=True)
         self.split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split
+        self.compiled = None
+        if self.vocab.plain():
+            self.compiled = tiktoken.Encoding("compiled", pat_str=PIECES, mergeable_ranks=self.vocab.ids, special_tokens={})
         self.spelled, self.counted = _Spelled(self.vocab), _Counted(self.machine)
 
-    def _parts(self, text: str):
+    def _parts(self, text: str, size: int = BLOCK):
         """(special string or None, text) in order."""
-        for block in blocks(text):
+        for block in blocks(text, size):
             if any(m in block for m in self.special):
                 for i, part in enumerate(self.split(block)):
                     yield (part, "") if i % 2 else (None, part)
@@ -257,9 +273,20 @@ class Encoder:
                 yield None, block
 
     def encode(self, text: str) -> bytes:
+        """Ids as little-endian 32-bit bytes.
+
+        A vocabulary that allows it (see ``plain``) is run by compiled code; a
+        part without any border for long, which that code does not take well,
+        is spelled here.
+        """
         spelled, out = self.spelled, []
-        for mark, part in self._parts(text):
-            out += [self.vocab.special[mark].to_bytes(4, "little")] if mark else [spelled[p] for p in self.find(part)]
+        for mark, part in self._parts(text, SHORT):
+            if mark:
+                out.append(self.vocab.special[mark].to_bytes(4, "little"))
+            elif self.compiled and len(part) <= 2 * SHORT:
+                out.append(self.compiled.encode_to_numpy(part, disallowed_special=()).astype("<u4", copy=False).tobytes())
+            else:
+                out += [spelled[p] for p in self.find(part)]
         return b"".join(out)
 
     def count(self, text: str) -> int:
