@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import materialize
+from .store import discard, materialize
 from .words import map_arrow, text_or_empty
 
 #: Runs of one minimiser that a task compares by itself.
@@ -474,17 +474,24 @@ def repeated_spans(rows: DataFrame, units: Units, rule: str, merge=sort_merge, h
     [first, stop) of window starts, and the texts of all suspects, as
     (id, key, spans) and (id, key, text)."""
     all_runs = materialize(anchors(rows, units), "anchors")
-    twice = all_runs.groupBy("hash").count().filter("count > 1").select("hash", (F.col("count") > hot).alias("hot"))
-    suspects = all_runs.join(twice.hint("merge"), "hash").groupBy("id", "key").agg(F.collect_set(F.struct("hash", "first", "n", "hot")).alias("marks"))
+    # each of these is written by itself: a finished shuffle then leaves the disk, and the
+    # join reads two plain shuffles, so that a hash in many runs may be split
+    twice = materialize(all_runs.groupBy("hash").count().filter("count > 1").select("hash", (F.col("count") > hot).alias("hot")), "twice")
+    doubtful = materialize(all_runs.join(twice.hint("merge"), "hash"), "doubtful")
+    discard(all_runs)
+    suspects = doubtful.groupBy("id", "key").agg(F.collect_set(F.struct("hash", "first", "n", "hot")).alias("marks"))
     texts = rows.join(suspects.hint("merge"), ["id", "key"]).dropDuplicates(["id", "key"])
     texts = materialize(texts.select("id", "key", "text", "marks"), "suspects")
+    discard(doubtful)
     total = texts.agg(F.sum(F.size("marks"))).first()[0] or 0
     bits = max(2, min(16, (total * 200 // 16_000_000).bit_length()))
     runs = materialize(packed_runs(texts, units, rule, bits), "runs")
     spans = runs.filter("kind = 0").select("id", "key", "first", "stop")
     spans = spans.union(merged_spans(runs, units, rule, merge).select("id", "key", "first", "stop")).union(hot_spans(runs, rule))
     spans = spans.groupBy("id", "key").agg(F.collect_list(F.struct("first", "stop")).alias("spans"))
-    return materialize(spans, "spans"), texts.select("id", "key", "text")
+    spans = materialize(spans, "spans")
+    discard(runs)
+    return spans, texts.select("id", "key", "text")
 
 
 def covered(spans: list[dict], width: int) -> list[tuple[int, int]]:
