@@ -108,26 +108,28 @@ def parse(df: DataFrame, column: str, into: str = "parsed") -> DataFrame:
     c = lambda name: F.col(t(name))
     own = df.columns
 
-    df = df.withColumn(t("raw"), F.col(column).cast("string"))
-    df = df.withColumn(t("folded"), spaced(upper_folded(c("raw"))))
-    df = df.withColumn(t("clean"), settled(tidy(c("folded"))))
-    df = df.withColumn(t("hash"), F.when(c("clean").contains("#"), c("clean")).when(c("clean").rlike(_MISSING_HASH), F.regexp_replace(c("clean"), _MISSING_HASH, "$1 $2 # $3")))
-    df = df.withColumn(t("via_text"), F.trim(F.substring_index(c("hash"), "#", 1))).withColumn(t("rest"), F.trim(F.regexp_replace(c("hash"), "^[^#]*#", "")))
-    df = df.withColumns({
-        t("cross_text"): F.trim(F.substring_index(c("rest"), "-", 1)),
-        t("after"): F.when(c("rest").contains("-"), F.trim(F.regexp_replace(c("rest"), "^[^-]*-", ""))).otherwise(""),
-    })
+    def stage(df: DataFrame, **cols: Column) -> DataFrame:
+        return df.withColumns({t(n): settled(x) for n, x in cols.items()})
+
     groups = _CUT.join(f"${i}" for i in range(1, 9))
-    df = df.withColumns({
-        t("via_g"): F.split(F.regexp_replace(c("via_text"), _SEGMENT, groups), _CUT),
-        t("cross_g"): F.when(c("cross_text") != "", F.split(F.regexp_replace(c("cross_text"), _SEGMENT, groups), _CUT)),
-        t("plate_g"): settled(F.regexp_extract(c("after"), r"^([0-9]+(?![^ ])(?: [A-Z](?![^ ]))?)", 1)),
-    })
-    df = df.withColumns({
-        t("plate"): or_null(F.regexp_replace(c("plate_g"), " ", "")),
-        t("tail"): F.trim(F.substr(c("after"), F.length(c("plate_g")) + 1)),
-    })
-    df = df.withColumn(t("pieces"), F.trim(F.regexp_replace(F.regexp_replace(c("tail"), "/+", " "), " +", " ")))
+    df = stage(df, raw=F.col(column).cast("string"))
+    df = stage(df, folded=spaced(upper_folded(c("raw"))))
+    df = stage(df, clean=tidy(c("folded")))
+    df = stage(df, hash=F.when(c("clean").contains("#"), c("clean")).when(c("clean").rlike(_MISSING_HASH), F.regexp_replace(c("clean"), _MISSING_HASH, "$1 $2 # $3")))
+    df = stage(df, via_text=F.trim(F.substring_index(c("hash"), "#", 1)), rest=F.trim(F.regexp_replace(c("hash"), "^[^#]*#", "")))
+    df = stage(
+        df,
+        cross_text=F.trim(F.substring_index(c("rest"), "-", 1)),
+        after=F.when(c("rest").contains("-"), F.trim(F.regexp_replace(c("rest"), "^[^-]*-", ""))).otherwise(""),
+    )
+    df = stage(
+        df,
+        via_g=F.split(F.regexp_replace(c("via_text"), _SEGMENT, groups), _CUT),
+        cross_g=F.when(c("cross_text") != "", F.split(F.regexp_replace(c("cross_text"), _SEGMENT, groups), _CUT)),
+        plate_g=F.regexp_extract(c("after"), r"^([0-9]+(?![^ ])(?: [A-Z](?![^ ]))?)", 1),
+    )
+    df = stage(df, plate=or_null(F.regexp_replace(c("plate_g"), " ", "")), tail=F.trim(F.substr(c("after"), F.length(c("plate_g")) + 1)))
+    df = stage(df, pieces=F.trim(F.regexp_replace(F.regexp_replace(c("tail"), "/+", " "), " +", " ")))
 
     def segment_note(g: Column) -> Column:
         left = F.get(g, F.lit(7))
@@ -158,21 +160,25 @@ def parse(df: DataFrame, column: str, into: str = "parsed") -> DataFrame:
             )),
         )),
     )
-    df = df.withColumn(t("note"), settled(note))
+    df = stage(df, note=note)
     ok = c("note").isNull()
     fields = {f"{side}_{n}": x for side in ("via", "cross") for n, x in _segment(t(f"{side}_g")).items()}
     fields = {n: F.when(ok, x) if not n.endswith("_bis") else ok & x for n, x in fields.items()}
     fields["plate"] = F.when(ok, c("plate"))
     fields["complement"] = F.when(ok & (c("pieces") != ""), _chunks(c("pieces"))).otherwise(F.array().cast(_NO_CHUNKS))
     struct = F.struct(
-        settled(c("raw")).alias("raw"),
+        c("raw").alias("raw"),
         ok.alias("parse_ok"),
         F.when(ok, F.array().cast("array<string>")).otherwise(F.array(c("note"))).alias("notes"),
         *[fields[n].alias(n) for n in FIELDS],
         F.when(ok, F.regexp_extract(c("plate"), "^([0-9]+)", 1).try_cast("int")).alias("plate_num"),
         F.when(ok, or_null(F.regexp_extract(c("plate"), "([A-Z]?)$", 1))).alias("plate_letter"),
     )
-    return df.withColumn(into, struct).select(*own, into) if into not in own else df.withColumn(into, struct).select(*own)
+    # through a generator, so that filters, join keys and their lineage above end at
+    # the struct; through a projection they would carry the whole grammar with them
+    df = df.withColumn(t("struct"), settled(struct))
+    out = df.withColumn(t("out"), F.explode(F.array(t("struct"))))
+    return out.select(*[F.col(x) for x in own if x != into], F.col(t("out")).alias(into))
 
 
 __all__ = ["parse", "SEGMENT"]

@@ -173,4 +173,4 @@ def test_other_types_are_refused(spark):
 def test_empty_table_and_clashing_columns(spark):
     df = spark.createDataFrame([], "addr string, raw int, parsed int")
     assert parse(df, "addr", "p").count() == 0
-    assert parse(df, "addr").columns == ["addr", "raw", "parsed"]
+    assert parse(df, "addr").columns == ["addr", "raw", "parsed"]  # a column of that name is replaced
