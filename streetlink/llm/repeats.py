@@ -41,6 +41,8 @@ HOT = 50_000
 #: Packed bytes that a task holds before it writes a sorted run.
 RUN_BYTES = 24_000_000
 NULL_ID = -(1 << 63)
+#: A run is one long: its first window, and in the low bits how many windows it has.
+RUN = 12
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -48,6 +50,8 @@ class Units:
     """What a text is made of; positions count units."""
 
     def __init__(self, width: int, gram: int):
+        if not gram <= width < gram + (1 << RUN) - 1 or gram & (gram - 1):
+            raise ValueError("gram must be a power of two, at most the width")
         self.width, self.gram = width, gram
 
     def split(self, text: str):
@@ -130,18 +134,24 @@ def _gram_hashes(h: np.ndarray, gram: int) -> np.ndarray:
         return h ^ (h >> np.uint64(29))
 
 
+PLACE = 20
+
+
 def _leftmost_least(h: np.ndarray, w: int) -> np.ndarray:
-    """For every window of w hashes, where its smallest stands (leftmost of equals)."""
-    value, at, size = h, np.arange(len(h)), 1
+    """For every window of w hashes, where its smallest stands.
+
+    The place takes the low bits of the hash, so one running minimum finds both;
+    of equal hashes the leftmost is smallest. Which gram wins depends on the
+    window's content alone, wherever it stands. At most 2**PLACE hashes.
+    """
+    mask = np.uint64((1 << PLACE) - 1)
+    least, size = (h & ~mask) | np.arange(len(h), dtype=np.uint64), 1
     while size * 2 <= w:
-        left = value[:-size] <= value[size:]
-        at = np.where(left, at[:-size], at[size:])
-        value = np.where(left, value[:-size], value[size:])
+        least = np.minimum(least[:-size], least[size:])
         size *= 2
     if size < w:
-        shift = w - size
-        at = np.where(value[:-shift] <= value[shift:], at[:-shift], at[shift:])
-    return at
+        least = np.minimum(least[: size - w], least[w - size :])
+    return (least & mask).astype(np.int64)
 
 
 def runs_of(units: Units, text: str, block: int = 1 << 19) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -177,15 +187,15 @@ def anchors(rows: DataFrame, units: Units) -> DataFrame:
             for i in range(batch.num_rows):
                 h, first, n = runs_of(units, texts[i].as_py())
                 if len(h):
-                    held.append((np.full(len(h), ids[i].as_py(), np.int64), np.full(len(h), keys[i].as_py(), np.int64), h, first.astype(np.int64), n.astype(np.int32)))
+                    held.append((np.full(len(h), ids[i].as_py(), np.int64), np.full(len(h), keys[i].as_py(), np.int64), h, first << RUN | n))
                     size += len(h)
                 if size > 100_000 or held and i == batch.num_rows - 1:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], ["id", "key", "hash", "first", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], ["id", "key", "hash", "run"])
                     held, size = [], 0
             if held:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], ["id", "key", "hash", "first", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], ["id", "key", "hash", "run"])
 
-    return rows.mapInArrow(run, "id long, key long, hash long, first long, n int")
+    return rows.mapInArrow(run, "id long, key long, hash long, run long")
 
 
 def shared_length(a: bytes, b: bytes, known: int = 0) -> int:
@@ -347,7 +357,7 @@ def packed_runs(suspects: DataFrame, units: Units, rule: str, bits: int) -> Data
         for r in it:
             parts = units.split(r["text"])
             for m in r["marks"]:
-                first, n = m["first"], m["n"]
+                first, n = m["run"] >> RUN, m["run"] & ((1 << RUN) - 1)
                 s = (m["hash"] + (1 << 63)).to_bytes(8, "big") + units.pack(parts, first, first + n + units.width - 1)
                 e = held.get(s)
                 if e is None:
@@ -479,7 +489,7 @@ def repeated_spans(rows: DataFrame, units: Units, rule: str, merge=sort_merge, h
     twice = materialize(all_runs.groupBy("hash").count().filter("count > 1").select("hash", (F.col("count") > hot).alias("hot")), "twice")
     doubtful = materialize(all_runs.join(twice.hint("merge"), "hash"), "doubtful")
     discard(all_runs)
-    suspects = doubtful.groupBy("id", "key").agg(F.collect_set(F.struct("hash", "first", "n", "hot")).alias("marks"))
+    suspects = doubtful.groupBy("id", "key").agg(F.collect_set(F.struct("hash", "run", "hot")).alias("marks"))
     texts = rows.join(suspects.hint("merge"), ["id", "key"]).dropDuplicates(["id", "key"])
     texts = materialize(texts.select("id", "key", "text", "marks"), "suspects")
     discard(doubtful)
