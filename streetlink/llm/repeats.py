@@ -30,6 +30,7 @@ from functools import lru_cache
 
 import numpy as np
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +41,8 @@ from .words import map_arrow, text_or_empty
 HOT = 50_000
 #: Packed bytes that a task holds before it writes a sorted run.
 RUN_BYTES = 24_000_000
+#: Packed bytes of a range that is merged at once.
+RANGE_BYTES = 4_000_000
 NULL_ID = -(1 << 63)
 #: A run is one long: its first window, and in the low bits how many windows it has.
 RUN = 12
@@ -227,13 +230,14 @@ def front_code(entries: list[tuple]) -> bytes:
         before = e[0]
     head = np.array([(e[1], e[2], e[3], e[4]) for e in entries], np.int64)
     sizes = np.array([shared, [len(r) for r in rest]], np.uint32)
-    return len(entries).to_bytes(4, "little") + head.tobytes() + sizes.tobytes() + b"".join(rest)
+    return zstandard.compress(len(entries).to_bytes(4, "little") + head.tobytes() + sizes.tobytes() + b"".join(rest), 1)
 
 
 class RunReader:
     """Reads a front-coded run; ``shared`` is what the string has in common with the one before."""
 
-    def __init__(self, blob: bytes):
+    def __init__(self, packed: bytes):
+        blob = zstandard.decompress(packed)
         n = int.from_bytes(blob[:4], "little")
         self.head = np.frombuffer(blob, np.int64, 4 * n, 4).reshape(n, 4)
         self.sizes = np.frombuffer(blob, np.uint32, 2 * n, 4 + 32 * n).reshape(2, n).tolist()
@@ -494,7 +498,7 @@ def repeated_spans(rows: DataFrame, units: Units, rule: str, merge=sort_merge, h
     texts = materialize(texts.select("id", "key", "text", "marks"), "suspects")
     discard(doubtful)
     total = texts.agg(F.sum(F.size("marks"))).first()[0] or 0
-    bits = max(2, min(16, (total * 200 // 16_000_000).bit_length()))
+    bits = max(2, min(16, (total * 200 // RANGE_BYTES).bit_length()))
     runs = materialize(packed_runs(texts, units, rule, bits), "runs")
     spans = runs.filter("kind = 0").select("id", "key", "first", "stop")
     spans = spans.union(merged_spans(runs, units, rule, merge).select("id", "key", "first", "stop")).union(hot_spans(runs, rule))
