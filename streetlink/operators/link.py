@@ -54,8 +54,11 @@ def _same_face(q: DataFrame, b: DataFrame) -> Column:
     return same
 
 
-def candidates(queries: DataFrame, base: DataFrame, tolerance: int = TOLERANCE, max_block_scan: int | None = None) -> DataFrame:
-    """Pairs of a query and a record of its block (query_id, query, record_id, ordinal, base, truncated)."""
+def candidates(queries: DataFrame, base: DataFrame, tolerance: int = TOLERANCE, max_block_scan: int | None = None, how: str = "inner") -> DataFrame:
+    """Pairs of a query and a record of its block (query_id, query, record_id, ordinal, base, truncated).
+
+    With how="left" queries that meet no record come too, with a null base.
+    """
     tolerance, cap = checked_tolerance(tolerance), checked_cap(max_block_scan)
     q = queries.withColumns(keys(F.col("query")))
     if cap is not None:
@@ -81,7 +84,7 @@ def candidates(queries: DataFrame, base: DataFrame, tolerance: int = TOLERANCE,
         both_null = q["k_plate"].isNull() & b["b_k_plate"].isNull()
         near = F.abs(q["k_plate"].cast("long") - b["b_k_plate"]) <= tolerance
         on = face & (both_null | F.coalesce(near, F.lit(False)))
-    return q.join(b, on).select("query_id", "query", "record_id", "ordinal", "base", "truncated")
+    return q.join(b, on, how).select("query_id", "query", "record_id", "ordinal", "base", "truncated")
 
 
 def parse_queries(queries: DataFrame, id_col: str, address_col: str) -> DataFrame:
@@ -119,25 +122,24 @@ def link_summary(queries: DataFrame, base: DataFrame, threshold: float = THRESHO
     threshold), n_candidates, best_id, best_score, ambiguous (the second score
     equals the first), alternatives, near_ambiguous, truncated, reason.
     """
-    pairs = scored(candidates(queries, base, tolerance, max_block_scan), threshold, tolerance)
-    per_record = pairs.groupBy("query_id", "record_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.when(F.col("is_match"), F.col("score"))).alias("score"), F.max("truncated").alias("truncated"))
-    per_query = per_record.groupBy("query_id").agg(
-        F.sum("n").alias("n_compared"),
-        F.count("score").alias("n_candidates"),
-        F.min(F.when(F.col("score").isNotNull(), F.struct((-F.col("score")).alias("s"), F.col("record_id").alias("r")))).alias("best"),
-        F.max(F.struct("score")).alias("top"),
-        F.max("truncated").alias("truncated"),
-    )
-    ties = per_record.select(F.col("query_id").alias("qt"), "score").join(per_query.select(F.col("query_id").alias("qt"), F.col("top.score").alias("top")), "qt").filter("score = top").groupBy("qt").count()
-    out = queries.join(per_query, "query_id", "left").join(ties, F.col("query_id") == F.col("qt"), "left")
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
-    n = zero("n_candidates")
-    reason = F.when(~F.col("query.parse_ok"), F.concat(F.lit("consulta no canónica ("), F.array_join("query.notes", ", "), F.lit(")"))).when(n == 0, "sin candidatos sobre el umbral").otherwise("")
+    pairs = scored(candidates(queries, base, tolerance, max_block_scan, "left"), threshold, tolerance)
+    # one shuffle by query serves the three aggregates; nothing is parsed or joined again
+    rows = pairs.select(
+        "query_id", F.col("query.parse_ok").alias("ok"), F.array_join("query.notes", ", ").alias("notes"), "record_id",
+        F.col("base").isNotNull().cast("long").alias("met"), F.when(F.col("is_match"), F.col("score")).alias("score"), F.coalesce("truncated", F.lit(False)).alias("truncated"),
+    ).repartition("query_id")
+    per_record = rows.groupBy("query_id", "record_id").agg(F.max("ok").alias("ok"), F.max("notes").alias("notes"), F.sum("met").alias("met"), F.max("score").alias("score"), F.max("truncated").alias("truncated"))
+    by_score = per_record.groupBy("query_id", "score").agg(
+        F.max("ok").alias("ok"), F.max("notes").alias("notes"), F.sum("met").alias("met"), F.count(F.lit(1)).alias("records"), F.min("record_id").alias("first_id"), F.max("truncated").alias("truncated"))
+    hit = F.col("score").isNotNull()
+    best = F.max(F.when(hit, F.struct("score", "records", "first_id")))
+    out = by_score.groupBy("query_id").agg(
+        F.max("ok").alias("parse_ok"), F.max("notes").alias("notes"), F.sum("met").alias("n_compared"), F.coalesce(F.sum(F.when(hit, F.col("records"))), F.lit(0)).alias("n"), best.alias("best"), F.max("truncated").alias("truncated"))
+    n = F.col("n")
+    reason = F.when(~F.col("parse_ok"), F.concat(F.lit("consulta no canónica ("), F.col("notes"), F.lit(")"))).when(n == 0, "sin candidatos sobre el umbral").otherwise("")
     return out.select(
-        "query_id", F.col("query.parse_ok").alias("parse_ok"), zero("n_compared").alias("n_compared"), n.alias("n_candidates"),
-        F.col("best.r").alias("best_id"), (-F.col("best.s")).alias("best_score"), (zero("count") > 1).alias("ambiguous"),
-        F.greatest(n - 1, F.lit(0)).alias("alternatives"), (n > 1).alias("near_ambiguous"),
-        F.coalesce("truncated", F.lit(False)).alias("truncated"), reason.alias("reason"),
+        "query_id", "parse_ok", "n_compared", n.alias("n_candidates"), F.col("best.first_id").alias("best_id"), F.col("best.score").alias("best_score"),
+        F.coalesce(F.col("best.records") > 1, F.lit(False)).alias("ambiguous"), F.greatest(n - 1, F.lit(0)).alias("alternatives"), (n > 1).alias("near_ambiguous"), "truncated", reason.alias("reason"),
     )
 
 

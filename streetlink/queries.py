@@ -18,6 +18,7 @@ from .operators.classify import note_family
 from .operators.compare import match_parsed
 from .operators.link import block_base, index_stats, link, link_summary, parse_queries
 from .operators.parse import parse
+from .sources.tables import read_table
 from .synthetic import BASE, QUERIES, block_sql, score_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,7 +31,7 @@ def over(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
         for word in ("FROM", "JOIN"):
             if f"{word} {name}" in sql:
                 sql = sql.replace(f"{word} {name}", f"{word} {{{name}}}")
-                tables[name] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+                tables[name] = read_table(spark, sf_dir, name)
     return spark.sql(sql, **tables)
 
 
