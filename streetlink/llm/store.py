@@ -16,6 +16,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.tables import read_table
+
 _local: dict[str, str] = {}
 
 
@@ -51,7 +53,7 @@ def discard(df: DataFrame) -> None:
     """Delete a table that materialize() wrote, once all that is made from it is written itself."""
     spark = df.sparkSession
     for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if f"{shared_dir(spark)}/streetlink/" not in name + "/" and "/streetlink/" not in name:
+        if "/streetlink/" not in name:
             raise ValueError(f"{name} is not a scratch table")
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
@@ -71,4 +73,4 @@ def drop_scratch(spark: SparkSession) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_table(spark, sf_dir, name)
