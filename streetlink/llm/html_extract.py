@@ -45,10 +45,14 @@ ENDS_P = {
 }
 NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|adsense|banners?|sponsor(?:ed|s)?|promos?|promotions?|sidebars?|widgets?|navbar|navigation|navs?|menus?|breadcrumbs?"
-    r"|masthead|header|footer|topbar|cookies?|consent|gdpr|notices?|alerts?|popups?|modals?|overlay|newsletter|subscribe|subscription|signup|login|comments?|commentlist|disqus|respond|repl(?:y|ies)"
+    r"|footer|topbar|cookies?|consent|gdpr|notices?|alerts?|popups?|modals?|overlay|newsletter|subscribe|subscription|signup|login|comments?|commentlist|disqus|respond|repl(?:y|ies)"
     r"|share|sharing|social|related|recommend(?:ed|ations)?|pagination|pager|toolbar|search|searchform|copyright|disclaimer|legal|skip-link|tags?|metadata)(?:$|[\s_-]|\d)",
     re.I,
 )
+#: Inside an article a header holds its title.
+PAGE_HEADER = re.compile(r"(?:^|[_-])(?:header|masthead)(?:$|[_-]|\d)", re.I)
+#: Wrappers that say what else is on the page.
+ABOUT_LAYOUT = re.compile(r"(?:has|with|without|no|is)[_-]", re.I)
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu", "menubar"}
 ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 TAG_NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
@@ -78,7 +82,8 @@ def _is_boilerplate(name: str, inside: str, in_marked: bool) -> bool:
         return True
     if name in MARKED and not re.search(r"comment|teaser|related|promo|\bads?\b|sponsor", a.get("class", "") + " " + a.get("id", ""), re.I):
         return False
-    return any(NAMES.search(a.get(k, "")) for k in ("class", "id"))
+    names = [n for k in ("class", "id") for n in a.get(k, "").split() if not ABOUT_LAYOUT.match(n)]
+    return any(NAMES.search(n) or not in_marked and PAGE_HEADER.search(n) for n in names)
 
 
 def tokens(html: str) -> Iterator[tuple[str, str, str]]:

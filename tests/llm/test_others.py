@@ -156,3 +156,11 @@ def test_empty_tables(spark, rows):
     empty = frame(spark, []).coalesce(1)
     for make in (count_tokens, pack_documents, quality_verdicts, mix_sources, mixed_documents):
         assert make(empty).count() == 0
+
+
+def test_layout_classes_do_not_hide_the_article():
+    body = "long enough words for an article " * 8
+    page = f"<div class='page has-sidebar'><div class='site-header'>site</div><article><div class='entry-header'><h1>T</h1></div><p>{body}</p></article><div class='sidebar'>s</div></div>"
+    assert main_text(page).split() == f"T {body}".split()
+    plain = f"<div class='wrap no-menu'><p>{body}</p></div><div class='sidebar'>s</div>"
+    assert main_text(plain).split() == body.split()
