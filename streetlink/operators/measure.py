@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.render import render
+from ..functions.text import settled
 from ..vocab import KINDS
 from .classify import base_key, classify_pair, differing_fields, failure_causes, note_family, plate_key, shape_signature, signature
 from .compare import match_parsed, score
@@ -148,7 +149,8 @@ def hard_negatives(rows: DataFrame, max_pairs: int | None = None, seed: int = 0)
     for label, side in (("same_via_same_plate_other_cross", "via"), ("same_cross_same_plate_other_via", "cross")):
         key = F.struct(signature(F.col("p"), side).alias("s"), plate_key(F.col("p")).alias("k"))
         pairs = group_pairs(rows, key) if max_pairs is None else sampled_group_pairs(rows, key, max_pairs // 2, seed)
-        pairs = _apart(pairs, rows).filter(classify_pair(F.col("p_a"), F.col("p_b")) == "different_base_other")
+        told = _apart(pairs, rows).withColumn("category", settled(classify_pair(F.col("p_a"), F.col("p_b"))))
+        pairs = told.filter("category = 'different_base_other'")
         out.append(pairs.select(F.lit(label).alias("kind"), score(F.col("p_a"), F.col("p_b")).alias("score")))
     both = reduce(DataFrame.union, out)
     return both.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("score") >= HIT).alias("at_or_above"))
