@@ -3,7 +3,8 @@
 Base rules look at one document. The line rule hashes normalised lines (lower
 case, white space as one blank), counts for each host (the source) in how many
 distinct documents a line occurs, and removes lines above the host's limit:
-those are its templates. A document of which too little is left is rejected.
+those are its templates. A document of which too little is left is rejected; the
+others are given without those lines.
 
 So that copies of a good document do not count as a template: exact copies count
 once, the limit is a share of the host's documents, and the first document
@@ -85,8 +86,8 @@ def _line_norm(line: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " ")))
 
 
-def template_words(keyed: DataFrame) -> DataFrame:
-    """(doc_id, text_key, removed): words of a document that lie in its host's template lines."""
+def template_lines(keyed: DataFrame) -> DataFrame:
+    """(doc_id, text_key, removed, gone): a document's words in its host's template lines, and the hashes of those lines."""
     lines = keyed.select("doc_id", "text_key", "host", F.explode(F.split("text", "\n")).alias("line"))
     lines = lines.select("doc_id", "text_key", "host", F.xxhash64(_line_norm(F.col("line"))).alias("h"), F.regexp_count("line", F.lit(WORD)).alias("words")).filter("words > 0")
     lines = lines.groupBy("doc_id", "text_key", "host", "h").agg(F.sum("words").alias("words"))
@@ -98,36 +99,55 @@ def template_words(keyed: DataFrame) -> DataFrame:
     hosts = hosts.select(F.col("host").alias("_host"), "limit")
     over = materialize(freq.join(hosts, F.col("host").eqNullSafe(F.col("_host"))).filter("n > limit").select(F.col("host").alias("_host"), F.col("h").alias("_h"), "first"), "template-lines")
     hit = lines.join(over.hint("merge"), F.col("host").eqNullSafe(F.col("_host")) & (F.col("h") == F.col("_h")) & ~F.col("doc_id").eqNullSafe(F.col("first")))
-    return hit.groupBy("doc_id", "text_key").agg(F.sum("words").alias("removed"))
+    return materialize(hit.groupBy("doc_id", "text_key").agg(F.sum("words").alias("removed"), F.collect_list("h").alias("gone")), "document-templates")
 
 
-def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """One row per document with its base counts, base_failed, removed_words and kept."""
+def without_lines(text: Column, gone: Column) -> Column:
+    """The text without the lines whose hashes are in gone; the text as it is where gone is null."""
+    left = F.array_join(F.filter(F.split(text, "\n"), lambda line: ~F.array_contains(gone, F.xxhash64(_line_norm(line)))), "\n")
+    return F.when(gone.isNull(), text).otherwise(left)
+
+
+def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", with_text: bool = False) -> DataFrame:
+    """One row per document with its base counts, base_failed, removed_words, kept and gone.
+
+    With ``with_text`` also kept_text: the text of a kept document without its template lines.
+    """
     keyed = _keyed(docs, id_col, text_col, host_col)
+    extra = ", text string" if with_text else ""
 
     def rows(it: Iterator[dict]) -> Iterator[dict]:
         for r in it:
             n, chars, symbols, dup, repeat = base_stats(r["text"])
-            yield {"doc_id": r["doc_id"], "text_key": r["text_key"], "n_words": n, "word_chars": chars, "n_symbols": symbols, "n_dup_lines": dup, "n_repeat_words": repeat}
+            yield {"doc_id": r["doc_id"], "text_key": r["text_key"], "n_words": n, "word_chars": chars, "n_symbols": symbols, "n_dup_lines": dup, "n_repeat_words": repeat, "text": r["text"]}
 
-    base = map_arrow(keyed.select("doc_id", "text_key", "text"), rows, "doc_id long, text_key long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long")
-    removed = template_words(keyed).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "removed")
-    joined = base.join(removed, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")), "left")
+    base = map_arrow(keyed.select("doc_id", "text_key", "text"), rows, "doc_id long, text_key long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long" + extra)
+    removed = template_lines(keyed).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "removed", "gone")
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
+    if with_text:  # only texts that may be kept travel
+        base = base.withColumn("text", F.when(~failed, F.col("text")))
+    joined = base.join(removed.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")), "left")
     gone = F.coalesce("removed", F.lit(0))
     left = F.col("n_words") - gone
     depleted = (gone > 0) & (left < MIN_WORDS) & (left < F.col("n_words") * KEPT_SHARE)
-    return joined.select("doc_id", "text_key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), gone.cast("long").alias("removed_words"), (~failed & ~depleted).alias("kept"))
+    kept = ~failed & ~depleted
+    text = [F.when(kept, without_lines(F.col("text"), F.col("gone"))).alias("kept_text")] if with_text else []
+    return joined.select("doc_id", "text_key", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), gone.cast("long").alias("removed_words"), kept.alias("kept"), "gone", *text)
 
 
-def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """The documents that pass, with all their columns and their text as it is."""
-    kept = quality_verdicts(docs, id_col, text_col, host_col).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
+def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", chars_col: str = "n_chars") -> DataFrame:
+    """The documents that pass, with all their columns and their text without its template lines."""
+    kept = quality_verdicts(docs, id_col, text_col, host_col).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "gone").dropDuplicates(["_id", "_key"])
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(host_col).cast("string"), text_or_empty(text_col)).alias("key"))
     same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))
-    return keyed.join(kept.hint("merge"), same, "left_semi").select("row.*")
+    text = without_lines(F.col("row")[text_col], F.col("gone"))
+    new = {text_col: text}
+    if chars_col in docs.columns:
+        chars = F.col("row")[chars_col]
+        new[chars_col] = F.when(F.col("gone").isNull(), chars).otherwise(F.length(text).cast(docs.schema[chars_col].dataType))
+    return keyed.join(kept.hint("merge"), same).select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = quality_verdicts(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    found = quality_verdicts(table(spark, sf_dir, "documents"), with_text=True)
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words", "kept_text")
