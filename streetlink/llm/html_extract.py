@@ -7,11 +7,13 @@ neighbouring lines the text lengths are summed; the sum surges where the article
 begins and dives where it ends, and all lines in between are kept, short ones
 too. If the page marks its article (<article> or <main>), lines outside weigh
 nothing and any length makes a surge; else lines count without their link text
-and a surge needs ``SURGE`` characters.
+and a surge needs ``SURGE`` characters. There a run of lines that weigh nothing is
+no dive if the text before and after it stands in one element, and every surge is
+kept unless it stands elsewhere than the heaviest and is mostly links.
 
 Defined cases: null or empty html gives an empty text; markup that is cut off or
-never closed is read as far as it goes; a page without any surge gives an empty
-text; repeated rows are each extracted.
+never closed is read as far as it goes; a page without any surge gives its
+heaviest short text; repeated rows are each extracted.
 """
 
 from __future__ import annotations
@@ -49,6 +51,8 @@ NAMES = re.compile(
     r"|share|sharing|social|related|recommend(?:ed|ations)?|pagination|pager|toolbar|search|searchform|copyright|disclaimer|legal|skip-link|tags?|metadata)(?:$|[\s_-]|\d)",
     re.I,
 )
+#: Elements that divide a page; others only shape the text inside.
+HOLDERS = {"div", "article", "main", "td", "center"}
 #: Inside an article a header holds its title.
 PAGE_HEADER = re.compile(r"(?:^|[_-])(?:header|masthead)(?:$|[_-]|\d)", re.I)
 #: Wrappers that say what else is on the page.
@@ -66,6 +70,7 @@ class Line:
     linked: int
     boiler: bool
     marked: bool
+    holders: frozenset[int]
 
 
 def _attributes(inside: str) -> dict[str, str]:
@@ -125,17 +130,20 @@ def tokens(html: str) -> Iterator[tuple[str, str, str]]:
 
 def lines_of(html: str) -> list[Line]:
     """The page's blocks, each with what it stands in."""
-    stack: list[tuple[str, bool, bool]] = [("", False, False)]
+    # name, boilerplate, marked, and the numbers of the nearest holder and of the one around it
+    stack: list[tuple[str, bool, bool, int, int]] = [("", False, False, 0, 0)]
     lines: list[Line] = []
     held: list[str] = []
-    linked = links = 0
+    linked = links = opened = 0
 
     def flush() -> None:
         nonlocal held, linked
         if held:
             text = " ".join(entities.unescape("".join(held)).split())
             if text:
-                lines.append(Line(text, linked, stack[-1][1], stack[-1][2]))
+                name, boiler, marked, holder, outer = stack[-1]
+                # a text that stands in its holder itself may be one block of the holder around
+                lines.append(Line(text, linked, boiler, marked, frozenset((holder, outer) if name in HOLDERS else (holder,))))
         held, linked = [], 0
 
     for kind, name, inside in tokens(html):
@@ -148,7 +156,7 @@ def lines_of(html: str) -> list[Line]:
                 hide = inside and _is_boilerplate(name, inside, stack[-1][2])
                 if hide and name not in VOID:
                     flush()
-                    stack.append((name, True, stack[-1][2]))
+                    stack.append((name, True, *stack[-1][2:]))
                 links += name == "a"
                 continue
             if name == "br":
@@ -159,11 +167,14 @@ def lines_of(html: str) -> list[Line]:
                 continue
             if name in ENDS_P and stack[-1][0] == "p" or name == "li" and stack[-1][0] == "li":
                 stack.pop()
-            _, boiler, marked = stack[-1]
+            _, boiler, marked, holder, outer = stack[-1]
             if name in MARKED and boiler and not any(x[2] for x in stack):
                 boiler = False  # a menu or header that was never closed
             own = _is_boilerplate(name, inside, marked)
-            stack.append((name, boiler or own, marked or name in MARKED and not own))
+            if name in HOLDERS:
+                opened += 1
+                holder, outer = opened, holder
+            stack.append((name, boiler or own, marked or name in MARKED and not own, holder, outer))
         elif kind == "close":
             links -= name == "a" and links > 0
             if name in INLINE and not (stack[-1][0] == name):
@@ -204,18 +215,56 @@ def line_blocks(lengths: list[int], surge: int, window: int = WINDOW) -> list[tu
     return spans
 
 
+def bridged(lines: list[Line], lengths: list[int]) -> list[int]:
+    """The places of the lines without the gaps inside one holder.
+
+    A gap is a run of lines that weigh nothing. Where the text before and the
+    text after it stand in one holder, it is an insertion and no dive.
+    """
+    out: list[int] = []
+    gap: list[int] = []
+    for i, n in enumerate(lengths):
+        if not n:
+            gap.append(i)
+            continue
+        if not (out and lengths[out[-1]] and lines[out[-1]].holders & lines[i].holders):
+            out += gap
+        gap = []
+        out.append(i)
+    return out + gap
+
+
+def article_spans(lines: list[Line], lengths: list[int]) -> list[tuple[int, int]]:
+    """Spans of lines [first, stop) that are the article of a page that marks none."""
+    at = bridged(lines, lengths)
+    weights = [lengths[i] for i in at]
+    spans = line_blocks(weights, SURGE)
+    short = not spans
+    if short:  # no surge: the whole article is short
+        spans = line_blocks(weights, 1)
+    if not spans:
+        return []
+    found = [(at[a], at[b - 1] + 1) for a, b in spans]
+    first, stop = max(found, key=lambda s: sum(lengths[s[0] : s[1]]))
+    holders = frozenset().union(*(x.holders for x in lines[first:stop]))
+
+    def other(a: int, b: int) -> bool:
+        """Whether a span is not the article: it stands elsewhere, and is mostly links or the only text is short."""
+        own = [x for x in lines[a:b] if not x.boiler]
+        if (a, b) == (first, stop) or any(x.holders & holders for x in own):
+            return False
+        return short or 2 * sum(x.linked for x in own) > sum(len(x.text) for x in own)
+
+    return [s for s in found if not other(*s)]
+
+
 def main_text(html: str | None) -> str:
     lines = lines_of(html or "")
     declared = any(x.marked and not x.boiler for x in lines)
     if declared:
-        lengths, surge = [len(x.text) if x.marked and not x.boiler else 0 for x in lines], 1
+        spans = line_blocks([len(x.text) if x.marked and not x.boiler else 0 for x in lines], 1)
     else:
-        lengths, surge = [max(0, len(x.text) - 2 * x.linked) if not x.boiler else 0 for x in lines], SURGE
-    spans = line_blocks(lengths, surge)
-    if not declared and spans:
-        # the article is the heaviest span and those that carry a fair share of its text
-        weight = [sum(lengths[a:b]) for a, b in spans]
-        spans = [s for s, w in zip(spans, weight) if 4 * w >= max(weight)]
+        spans = article_spans(lines, [max(0, len(x.text) - 2 * x.linked) if not x.boiler else 0 for x in lines])
     return " ".join(x.text for a, b in spans for x in lines[a:b] if not x.boiler and (x.marked or not declared))
 
 
