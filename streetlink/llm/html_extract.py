@@ -5,8 +5,9 @@ structural boilerplate (menus, headers and footers of the page, sidebars,
 notices, adverts, forms, reader comments) weigh nothing. Over windows of
 neighbouring lines the text lengths are summed; the sum surges where the article
 begins and dives where it ends, and all lines in between are kept, short ones
-too. If the page marks its article (<article> or <main>), lines outside weigh
-nothing and any length makes a surge; else lines count without their link text
+too. A page marks its article (<article> or <main>) if a span outside has no more
+than ``TAG_WEIGHT`` times the text of the largest mark; then lines outside weigh
+nothing and all lines inside are kept. Else lines count without their link text
 and a surge needs ``SURGE`` characters. There a run of lines that weigh nothing is
 no dive if the text before and after it stands in one element, and every surge is
 kept unless it stands elsewhere than the heaviest and is mostly links.
@@ -31,6 +32,8 @@ from .words import map_arrow
 
 WINDOW = 3
 SURGE = 80
+#: A character in the largest <article> or <main> counts as so many outside.
+TAG_WEIGHT = 3
 
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "noembed", "noframes", "xmp"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -71,6 +74,7 @@ class Line:
     boiler: bool
     marked: bool
     holders: frozenset[int]
+    mark: int
 
 
 def _attributes(inside: str) -> dict[str, str]:
@@ -130,8 +134,8 @@ def tokens(html: str) -> Iterator[tuple[str, str, str]]:
 
 def lines_of(html: str) -> list[Line]:
     """The page's blocks, each with what it stands in."""
-    # name, boilerplate, marked, and the numbers of the nearest holder and of the one around it
-    stack: list[tuple[str, bool, bool, int, int]] = [("", False, False, 0, 0)]
+    # name, boilerplate, marked, and the numbers of the nearest holder, the one around it and the outermost mark
+    stack: list[tuple[str, bool, bool, int, int, int]] = [("", False, False, 0, 0, 0)]
     lines: list[Line] = []
     held: list[str] = []
     linked = links = opened = 0
@@ -141,9 +145,9 @@ def lines_of(html: str) -> list[Line]:
         if held:
             text = " ".join(entities.unescape("".join(held)).split())
             if text:
-                name, boiler, marked, holder, outer = stack[-1]
+                name, boiler, marked, holder, outer, mark = stack[-1]
                 # a text that stands in its holder itself may be one block of the holder around
-                lines.append(Line(text, linked, boiler, marked, frozenset((holder, outer) if name in HOLDERS else (holder,))))
+                lines.append(Line(text, linked, boiler, marked, frozenset((holder, outer) if name in HOLDERS else (holder,)), mark))
         held, linked = [], 0
 
     for kind, name, inside in tokens(html):
@@ -167,14 +171,16 @@ def lines_of(html: str) -> list[Line]:
                 continue
             if name in ENDS_P and stack[-1][0] == "p" or name == "li" and stack[-1][0] == "li":
                 stack.pop()
-            _, boiler, marked, holder, outer = stack[-1]
+            _, boiler, marked, holder, outer, mark = stack[-1]
             if name in MARKED and boiler and not any(x[2] for x in stack):
                 boiler = False  # a menu or header that was never closed
             own = _is_boilerplate(name, inside, marked)
             if name in HOLDERS:
                 opened += 1
                 holder, outer = opened, holder
-            stack.append((name, boiler or own, marked or name in MARKED and not own, holder, outer))
+            if name in MARKED and not own and not marked:
+                mark = opened
+            stack.append((name, boiler or own, marked or name in MARKED and not own, holder, outer, mark))
         elif kind == "close":
             links -= name == "a" and links > 0
             if name in INLINE and not (stack[-1][0] == name):
@@ -258,13 +264,32 @@ def article_spans(lines: list[Line], lengths: list[int]) -> list[tuple[int, int]
     return [s for s in found if not other(*s)]
 
 
+def declares_article(lines: list[Line], lengths: list[int]) -> bool:
+    """Whether the page's marks hold its article, and not teasers beside it.
+
+    The largest marked element is weighed against the heaviest span outside.
+    """
+    marks: dict[int, int] = {}
+    for x in lines:
+        if x.marked and not x.boiler:
+            marks[x.mark] = marks.get(x.mark, 0) + len(x.text)
+    if not marks:
+        return False
+    outside = [0 if x.marked else n for x, n in zip(lines, lengths)]
+    at = bridged(lines, outside)
+    spans = line_blocks([outside[i] for i in at], SURGE)
+    heaviest = max((sum(outside[i] for i in at[a:b]) for a, b in spans), default=0)
+    return TAG_WEIGHT * max(marks.values()) >= heaviest
+
+
 def main_text(html: str | None) -> str:
     lines = lines_of(html or "")
-    declared = any(x.marked and not x.boiler for x in lines)
+    lengths = [max(0, len(x.text) - 2 * x.linked) if not x.boiler else 0 for x in lines]
+    declared = declares_article(lines, lengths)
     if declared:
         spans = line_blocks([len(x.text) if x.marked and not x.boiler else 0 for x in lines], 1)
     else:
-        spans = article_spans(lines, [max(0, len(x.text) - 2 * x.linked) if not x.boiler else 0 for x in lines])
+        spans = article_spans(lines, lengths)
     return " ".join(x.text for a, b in spans for x in lines[a:b] if not x.boiler and (x.marked or not declared))
 
 

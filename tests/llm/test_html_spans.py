@@ -31,3 +31,13 @@ def test_a_light_part_elsewhere_is_kept_unless_it_is_links():
 
 def test_a_short_article_is_not_empty():
     assert words("<div class='menu'>home</div><div id='text'><h1>Head</h1><p>A short one.</p></div>") == "Head A short one."
+
+
+def test_marked_teasers_do_not_hide_the_body():
+    cards = "".join(f"<article class='card'><h3><a href=/{i}>teaser {i}</a></h3><p>some words of teaser {i}</p></article>" for i in range(6))
+    body = words(f"<div>{BODY}</div>")
+    assert body in words(f"<div class='post-body'>{BODY}{ADVERT}<p>The end.</p></div>{cards}")
+    assert "The end." in words(f"{cards}<div class='post-body'>{BODY}{ADVERT}<p>The end.</p></div>")
+    # the mark wins where it holds the article, and where it holds several
+    assert words(f"<article>{BODY}</article><div>{'words beside the article ' * 20}</div>") == body
+    assert words(f"<article>{BODY}</article><article>{BODY}</article>") == f"{body} {body}"
