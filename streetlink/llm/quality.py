@@ -92,14 +92,19 @@ def template_lines(keyed: DataFrame) -> DataFrame:
     lines = lines.select("doc_id", "text_key", "host", F.xxhash64(_line_norm(F.col("line"))).alias("h"), F.regexp_count("line", F.lit(WORD)).alias("words")).filter("words > 0")
     lines = lines.groupBy("doc_id", "text_key", "host", "h").agg(F.sum("words").alias("words"))
     lines = materialize(lines, "lines")
-    hosts = keyed.groupBy("host", "text_key").agg(F.lit(1)).groupBy("host").agg(F.count(F.lit(1)).alias("docs")).withColumn("limit", F.greatest(F.col("docs") * LINE_SHARE, F.lit(float(LINE_DOCS))))
+    rows = materialize(keyed.groupBy("doc_id", "text_key", "host").agg(F.count(F.lit(1)).alias("rows")), "row-counts")
+    hosts = rows.groupBy("host", "text_key").agg(F.lit(1)).groupBy("host").agg(F.count(F.lit(1)).alias("docs")).withColumn("limit", F.greatest(F.col("docs") * LINE_SHARE, F.lit(float(LINE_DOCS))))
     # a text counts once, with the smallest id that has it
     texts = lines.groupBy("host", "h", "text_key").agg(F.min("doc_id").alias("first"))
     freq = texts.groupBy("host", "h").agg(F.count(F.lit(1)).alias("n"), F.min("first").alias("first")).filter(F.col("n") > LINE_DOCS)
     hosts = hosts.select(F.col("host").alias("_host"), "limit")
     over = materialize(freq.join(hosts, F.col("host").eqNullSafe(F.col("_host"))).filter("n > limit").select(F.col("host").alias("_host"), F.col("h").alias("_h"), "first"), "template-lines")
     hit = lines.join(over.hint("merge"), F.col("host").eqNullSafe(F.col("_host")) & (F.col("h") == F.col("_h")) & ~F.col("doc_id").eqNullSafe(F.col("first")))
-    return materialize(hit.groupBy("doc_id", "text_key").agg(F.sum("words").alias("removed"), F.collect_list("h").alias("gone")), "document-templates")
+    found = hit.groupBy("doc_id", "text_key").agg(F.sum("words").alias("removed"), F.collect_list("h").alias("gone"))
+    # repeated rows were summed; each has its equal share
+    repeated = rows.filter("rows > 1").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "rows")
+    found = found.join(repeated, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")), "left")
+    return materialize(found.select("doc_id", "text_key", F.expr("removed div coalesce(rows, 1)").alias("removed"), "gone"), "document-templates")
 
 
 def without_lines(text: Column, gone: Column) -> Column:

@@ -28,3 +28,13 @@ def test_kept_texts_lose_their_template_lines(spark):
     assert all(r.n_chars == len(r.text) for r in got)
     verdicts = quality_verdicts(frame(spark, rows), with_text=True).collect()
     assert {r.doc_id: r.kept_text for r in verdicts} == want | {501: None}
+
+
+def test_repeated_rows_do_not_multiply_template_words(spark):
+    line = " ".join(["template"] + [f"t{j}" for j in range(23)])
+    rows = [doc(i, f"{line}\n{own(i, 36)}") for i in range(30)]
+    rows += [dict(rows[5]), dict(rows[7]), dict(rows[7])] + [doc(None, f"{line}\n{own(99)}\n{line}") for _ in range(6)]
+    got = quality_verdicts(frame(spark, rows)).collect()
+    assert len(got) == len(rows)
+    assert {(r.doc_id, r.removed_words, r.kept) for r in got} == {(i, 24 if i else 0, True) for i in range(30)} | {(None, 48, True)}
+    assert keep_good(frame(spark, rows)).count() == len(rows)
