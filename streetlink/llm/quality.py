@@ -7,8 +7,9 @@ those are its templates. A document of which too little is left is rejected; the
 others are given without those lines.
 
 So that copies of a good document do not count as a template: exact copies count
-once, the limit is a share of the host's documents, and the first document
-(smallest id) that has a line keeps it, so one of a group always survives.
+once, the limit grows with the host (with the root of its documents, so that it
+does not loosen in proportion), and the first document (smallest id) that has a
+line keeps it, so one of a group always survives.
 
 Defined cases: null text has no words and fails the base rules; a null source is
 a host of its own; rows with the same id, source and text share one verdict; an
@@ -28,7 +29,8 @@ from .words import WORD, map_arrow, text_key, text_or_empty
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-#: A line is a template if it is in more documents than both of these.
+#: A line is a template if it is in more documents than LINE_DOCS. Where that is less than
+#: LINE_SHARE of a host's documents, the limit grows with the root of their number.
 LINE_SHARE = 0.1
 LINE_DOCS = 20
 #: A document is depleted if fewer words than both of these are left.
@@ -93,7 +95,7 @@ def template_lines(keyed: DataFrame) -> DataFrame:
     lines = lines.groupBy("doc_id", "text_key", "host", "h").agg(F.sum("words").alias("words"))
     lines = materialize(lines, "lines")
     rows = materialize(keyed.groupBy("doc_id", "text_key", "host").agg(F.count(F.lit(1)).alias("rows")), "row-counts")
-    hosts = rows.groupBy("host", "text_key").agg(F.lit(1)).groupBy("host").agg(F.count(F.lit(1)).alias("docs")).withColumn("limit", F.greatest(F.col("docs") * LINE_SHARE, F.lit(float(LINE_DOCS))))
+    hosts = rows.groupBy("host", "text_key").agg(F.lit(1)).groupBy("host").agg(F.count(F.lit(1)).alias("docs")).withColumn("limit", LINE_DOCS * F.sqrt(F.greatest(F.col("docs") * LINE_SHARE / LINE_DOCS, F.lit(1.0))))
     # a text counts once, with the smallest id that has it
     texts = lines.groupBy("host", "h", "text_key").agg(F.min("doc_id").alias("first"))
     freq = texts.groupBy("host", "h").agg(F.count(F.lit(1)).alias("n"), F.min("first").alias("first")).filter(F.col("n") > LINE_DOCS)

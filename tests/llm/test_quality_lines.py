@@ -38,3 +38,9 @@ def test_repeated_rows_do_not_multiply_template_words(spark):
     assert len(got) == len(rows)
     assert {(r.doc_id, r.removed_words, r.kept) for r in got} == {(i, 24 if i else 0, True) for i in range(30)} | {(None, 48, True)}
     assert keep_good(frame(spark, rows)).count() == len(rows)
+
+
+def test_the_limit_does_not_grow_in_proportion(spark):
+    rows = [doc(i, f"{own(i)}\n{'in a few of them ' if i < 70 else f'line {i}'}\n{'in fewer' if i < 40 else ''}") for i in range(800)]
+    got = {r.doc_id: r.removed_words for r in quality_verdicts(frame(spark, rows)).collect()}
+    assert got == {i: 5 if 0 < i < 70 else 0 for i in range(800)}  # the limit is 40
