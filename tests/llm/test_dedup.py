@@ -1,4 +1,7 @@
+import os
 import random
+import subprocess
+import sys
 
 import brute
 import pytest
@@ -55,6 +58,67 @@ def test_exact_index_persists(spark, rows):
     assert index.read().count() == len({r.text_sha256 for r in again})
 
 
+def test_exact_index_is_reopened_by_its_path(spark, rows, tmp_path):
+    """A second application, with another catalog and another number of partitions, sees what the first one wrote."""
+    path = f"file://{tmp_path}/index"
+    script = """
+import sys
+from pyspark.sql import SparkSession
+from streetlink.llm.exact_dedup import DigestIndex, exact_dedup_report
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "3").config("spark.sql.warehouse.dir", sys.argv[2]).getOrCreate()
+docs = spark.createDataFrame([(1, "a b"), (2, "c")], "doc_id long, text string")
+assert {(r.doc_id, r.kept) for r in exact_dedup_report(docs, DigestIndex(spark, sys.argv[1])).collect()} == {(1, True), (2, True)}
+"""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    subprocess.run([sys.executable, "-c", script, path, f"{tmp_path}/warehouse"], check=True, cwd=root, env=os.environ | {"PYTHONPATH": root})
+    index = DigestIndex(spark, path, buckets=7)
+    assert index.buckets == 3
+    docs = spark.createDataFrame([(1, "AB"), (3, "d"), (4, "ab"), (5, "c ")], "doc_id long, text string")
+    got = {r.doc_id: (r.keep_id, r.kept) for r in exact_dedup_report(docs, index).collect()}
+    assert got == {1: (1, True), 3: (3, True), 4: (1, False), 5: (2, False)}
+    assert sorted(r.keep_id for r in index.read().collect()) == [1, 1, 2, 3]
+    index.close()
+    with pytest.raises(ValueError):
+        os.makedirs(f"{tmp_path}/other/rows")
+        DigestIndex(spark, f"file://{tmp_path}/other")
+
+
+def test_exact_batch_can_be_retried(spark, rows, tmp_path):
+    index = DigestIndex(spark, f"file://{tmp_path}/index")
+    exact_dedup_report(frame(spark, rows[:40]), index, batch="one").collect()
+    # a try of the second batch that got half of its rows in
+    index.append(frame(spark, rows[40:70]), batch="two")
+    want = None
+    for _ in range(2):
+        got = sorted(map(tuple, exact_dedup_report(frame(spark, rows[40:]), index, batch="two").select("doc_id", "keep_id", "kept").collect()))
+        assert want in (None, got)
+        want = got
+    digests = index.read().select("digest")
+    assert digests.count() == digests.distinct().count() == len({x[4] for x in brute.exact(rows)})
+    kept = {r[0] for r in got if r[2]}
+    old = {x[4] for x in brute.exact(rows[:40])}
+    assert kept and len(kept) == len({x[4] for x in brute.exact(rows)} - old)
+    index.close()
+
+
+def test_exact_index_is_joined_in_its_buckets(spark, rows, tmp_path):
+    index = DigestIndex(spark, f"file://{tmp_path}/index")
+    index.append(frame(spark, rows[:40]))
+    batch = frame(spark, rows).selectExpr("unhex(sha2(text, 256)) as d").distinct()
+    plan = batch.join(index.read().select("digest").hint("merge"), batch.d == index.read().digest, "left_anti")._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
+    assert "LeftAnti" in plan and "SortMergeJoin" in plan
+    scan = plan[plan.index("FileScan parquet") :]
+    assert "Bucketed: true" in scan
+    index.close()
+
+
+def test_the_longer_spelling_of_an_id_stays(spark):
+    docs = spark.createDataFrame([(1, "a b", "x"), (1, "a  b", "y"), (1, "ab", "z"), (2, "a  b", "w")], "doc_id long, text string, source string")
+    assert [tuple(r) for r in drop_exact_copies(docs).collect()] == [(1, "a  b", "y")]
+    tied = spark.createDataFrame([(1, "a b", "x"), (1, "a\tb", "y"), (1, "ab ", "z")], "doc_id long, text string, source string")
+    assert {tuple(drop_exact_copies(tied.repartition(n)).collect()[0]) for n in (1, 2, 3)}.__len__() == 1
+
+
 def test_exact_repeated_rows(spark, rows):
     twice = frame(spark, rows[:20] + rows[:20])
     kept = exact_dedup_report(twice).filter("kept")
