@@ -213,9 +213,10 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     fps = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct-fingerprints")
     links = near_links(fps.select("fp"), distance, bucket)
     roots = components(links)
-    rooted = fps.join(roots, fps.fp == roots.node, "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
-    ids = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    labels = materialize(rooted.join(ids, "root").select("fp", "component_id"), "fingerprint-labels")
+    rooted = materialize(fps.join(roots.hint("merge"), fps.fp == roots.node, "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root")), "rooted-fingerprints")
+    # written first: a join of two plain shuffles may be split at a root of many fingerprints
+    ids = materialize(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")), "component-ids")
+    labels = materialize(rooted.join(ids.hint("merge"), "root").select("fp", "component_id"), "fingerprint-labels")
     return prints.join(labels.hint("merge"), "fp").select("doc_id", "fp", "component_id")
 
 

@@ -9,7 +9,6 @@ master: on a cluster a machine-local folder would lose rows.
 from __future__ import annotations
 
 import atexit
-import gc
 import shutil
 import tempfile
 import uuid
@@ -18,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import read_table
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _local: dict[str, str] = {}
 
 
@@ -44,8 +44,13 @@ def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> Da
     spark = df.sparkSession
     path = scratch_path(spark, name)
     writer = df.write.partitionBy(partition_by) if partition_by else df.write
-    writer.parquet(path)
-    release(spark)
+    # shuffle files of the step leave the disk when it ends, not when the driver's heap fills
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        writer.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -59,12 +64,6 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished steps now, not when the driver's heap fills."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def drop_scratch(spark: SparkSession) -> None:
     """Delete what this module wrote; call it when no result is read any more."""
     jvm = spark.sparkContext._jvm

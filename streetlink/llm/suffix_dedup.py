@@ -1,11 +1,14 @@
 """Suffix dedup: bytes covered by 100-byte strings that also start earlier.
 
 A common-prefix-aware distributed merge sort. Suffixes are taken at minimisers
-(every 100-byte string has one, at the same place wherever the string stands)
-and cut to what the strings of that minimiser span. Each task sorts its suffixes
-and front-codes them; the sorted runs are exchanged by ranges, and a loser tree
-combines them without comparing a known prefix again. Equal strings come out
-adjacent, the earliest is kept (see ``repeats``).
+(every 100-byte string has one, at the same place wherever the string stands) and
+ordered by a hash of their first 32 bytes, which spreads them evenly over ranges,
+and then as text. Each task sorts its suffixes and front-codes them; the sorted
+runs are exchanged by ranges, and a loser tree combines them without comparing a
+known prefix again. It tells what neighbours share, and that decides: a string
+that reaches a bytes back from its minimiser stands in two places if the suffixes
+there share 100 - a bytes or more and the texts before them a bytes; the earliest
+is kept (see ``repeats``).
 
 Sorting one suffix for every byte would move the text a hundred times over; one
 for each minimiser decides the same strings.

@@ -8,7 +8,7 @@ import pytest
 
 from streetlink.llm.components import components
 from streetlink.llm.exact_dedup import DigestIndex, drop_exact_copies, exact_dedup_report
-from streetlink.llm.repeats import Bytes, Words, front_code, loser_tree_merge, runs_of, sort_merge
+from streetlink.llm.repeats import Bytes, Words, earlier_windows, front_code, loser_tree_merge, placed_runs_of, runs_of, sort_merge
 from streetlink.llm.simhash import ball_links, drop_near_copies, fingerprint, near_links, simhash_components
 from streetlink.llm.substring_dedup import remove_repeated_words
 from streetlink.llm.suffix_dedup import remove_repeated_bytes
@@ -177,10 +177,46 @@ def test_merges_agree():
         assert sorted((g[0], g[1][0]) for g in got) == sorted(every)
     before = b""
     for s, _, shared in loser_tree_merge(blobs):
-        assert s[:shared] == before[:shared]
+        assert shared == len(os.path.commonprefix([s, before]))
         before = s
 
 
+def test_the_shared_lengths_decide_repeats():
+    """Suffixes through the merge, by pairs and by levels, against every window looked up."""
+    rnd = random.Random(11)
+    units = Bytes(40, 8)
+    made = 0
+    for trial in range(60):
+        some = bytes(rnd.choice(b"ab") for _ in range(rnd.choice([60, 90, 200])))
+        texts = []
+        for _ in range(rnd.randint(2, 9)):
+            t = bytearray(some[rnd.randint(0, 9) :] + some[: rnd.randint(0, 30)])
+            for _ in range(rnd.randint(0, 2)):
+                t[rnd.randrange(len(t))] = rnd.choice(b"abc")
+            texts.append(bytes(t))
+        seen, want = set(), set()
+        for d, t in enumerate(texts):
+            for i in range(len(t) - 39):
+                if t[i : i + 40] in seen:
+                    want.add((d, i))
+                seen.add(t[i : i + 40])
+        groups = {}
+        for d, t in enumerate(texts):
+            for h, first, n, place in zip(*(x.tolist() for x in placed_runs_of(units, t.decode()))):
+                groups.setdefault(h, []).append((units.pack(t, first, place, n), d, 0, first, 0))
+        for pairwise in (10**9, 0):
+            got = set()
+            for entries in groups.values():
+                rnd.shuffle(entries)
+                blobs = [front_code(sorted(entries[k::3])) for k in range(3) if entries[k::3]]
+                group = [[s, shared, *meta] for s, meta, shared in loser_tree_merge(blobs)]
+                for x in earlier_windows(group, units, pairwise):
+                    got |= {(x["id"], j) for j in range(x["first"], x["stop"])}
+            assert got == want
+        made += len(want)
+    assert made > 1000
+
+
 def test_simhash(spark, rows):
     want = brute.near(rows)
     for bucket in (16384, 3):  # with 3, most buckets take the way of crowded ones
