@@ -59,18 +59,29 @@ def suffixes(rows, width=100):
     return out
 
 
-def simhash(text, width=4):
+def another(h, k):
+    """The k-th further 64-bit hash made of a hash."""
+    if not k:
+        return h
+    mask = (1 << 64) - 1
+    h = (h + k * 0x9E3779B97F4A7C15) & mask
+    h = ((h ^ h >> 30) * 0xBF58476D1CE4E5B9) & mask
+    h = ((h ^ h >> 27) * 0x94D049BB133111EB) & mask
+    return h ^ h >> 31
+
+
+def simhash(text, width=4, k=0):
     words = WORD.findall((text or "").translate({c: c + 32 for c in range(65, 91)}))
     if not words:
         return 0
     shingles = [" ".join(words[i : i + width]) for i in range(len(words) - width + 1)] or [" ".join(words)]
-    hashes = [xxhash.xxh64(s.encode(), seed=42).intdigest() for s in shingles]
+    hashes = [another(xxhash.xxh64(s.encode(), seed=42).intdigest(), k) for s in shingles]
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
-def near(rows, distance=4):
+def near(rows, distance=4, width=4, words=1):
     """{doc_id: (fingerprint, component)}, all pairs compared."""
-    fps = [(r["doc_id"], simhash(r["text"])) for r in rows]
+    fps = [(r["doc_id"], sum(simhash(r["text"], width, k) << 64 * (words - 1 - k) for k in range(words))) for r in rows]
     root = {d: d for d, _ in fps}
 
     def find(x):
@@ -84,7 +95,12 @@ def near(rows, distance=4):
             if (x ^ y).bit_count() <= distance:
                 ra, rb = find(a), find(b)
                 root[max(ra, rb)] = min(ra, rb)
-    return {d: (f"{x:016x}", find(d)) for d, x in fps}
+    return {d: (f"{x:0{16 * words}x}", find(d)) for d, x in fps}
+
+
+def near_copies(rows):
+    """The groups of the pipeline's stage: five words, 128 bits, 23 of them."""
+    return near(rows, 23, 5, 2)
 
 
 def quality_base(text):

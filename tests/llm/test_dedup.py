@@ -9,7 +9,7 @@ import pytest
 from streetlink.llm.components import components
 from streetlink.llm.exact_dedup import DigestIndex, drop_exact_copies, exact_dedup_report
 from streetlink.llm.repeats import Bytes, Words, earlier_windows, front_code, loser_tree_merge, placed_runs_of, runs_of, sort_merge
-from streetlink.llm.simhash import ball_links, drop_near_copies, fingerprint, near_links, simhash_components
+from streetlink.llm.simhash import ball_links, distance_for, drop_near_copies, fingerprint, near_links, plan, segments_for, simhash_components
 from streetlink.llm.substring_dedup import remove_repeated_words
 from streetlink.llm.suffix_dedup import remove_repeated_bytes
 
@@ -264,12 +264,66 @@ def test_components(spark):
 
 
 def test_drop_near_copies_keeps_one_of_each_group(spark, rows):
-    want = {v[1] for v in brute.near(rows).values()}
+    want = {v[1] for v in brute.near_copies(rows).values()}
     out = drop_near_copies(frame(spark, rows))
     assert out.columns == frame(spark, rows).columns
     assert sorted(r.doc_id for r in out.collect()) == sorted(want)
 
 
+def edited(rnd, words, n):
+    """The text with n words in a row replaced."""
+    at = rnd.randrange(len(words) - n)
+    return " ".join(words[:at] + [f"new{rnd.random()}" for _ in range(n)] + words[at + n :])
+
+
+def test_near_copies_are_found_at_the_similarity(spark):
+    """Texts of which 0.8 of the five-word shingles are shared, and unrelated ones."""
+    rnd = random.Random(21)
+    texts, similar = [], []
+    for _ in range(120):
+        words = [f"w{rnd.randrange(5000)}" for _ in range(200)]
+        new = edited(rnd, words, rnd.randint(1, 16))
+        sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (words, new.split())]
+        if len(sets[0] & sets[1]) >= 0.8 * len(sets[0] | sets[1]):
+            similar.append((len(texts), len(texts) + 1))
+        texts += [" ".join(words), new]
+    rows = [dict(doc_id=i, text=t, lang=None, source=None, n_chars=len(t), key="k", id=7, row="r") for i, t in enumerate(texts)]
+    got = {r.doc_id: r.component_id for r in simhash_components(frame(spark, rows), distance=distance_for(0.8, 128), width=5, words=2).collect()}
+    assert got == {d: c for d, (_, c) in brute.near_copies(rows).items()}
+    assert len(similar) > 80 and sum(got[a] == got[b] for a, b in similar) >= 0.95 * len(similar)
+    assert all(c in (d, d - d % 2) for d, c in got.items())
+
+
+def test_crowded_buckets_of_near_copies(spark):
+    """A group larger than a task may compare, with links that only far members have."""
+    rnd = random.Random(22)
+    base = [f"w{i}" for i in range(100)]
+    words = list(base)
+    texts = [" ".join(base)]
+    for i in range(60):  # a chain that drifts away from the first
+        words[rnd.randrange(100)] = f"x{i}"
+        texts.append(" ".join(words))
+        texts.append(edited(rnd, base, 1))
+    rows = [dict(doc_id=i, text=t, lang=None, source=None, n_chars=len(t), key="k", id=7, row="r") for i, t in enumerate(texts)]
+    want = brute.near_copies(rows)
+    for bucket in (8, 40):
+        got = {r.doc_id: r.component_id for r in simhash_components(frame(spark, rows), distance=23, bucket=bucket, width=5, words=2).collect()}
+        assert got == {d: c for d, (_, c) in want.items()}
+
+
+def test_balls_meet_at_every_distance():
+    """Whatever the plan, two fingerprints within the distance share a bucket where one of them stands."""
+    rnd = random.Random(23)
+    for words, m, distance in ((1, 4, 4), (1, 3, 4), (1, 2, 4), (2, 8, 23), (2, 6, 23), (2, 4, 7)):
+        segs = plan(m, distance, 64 * words)
+        assert sum(bits for _, bits, _ in segs) == 64 * words and len(segs) == m
+        for _ in range(300):
+            differ = sum(1 << b for b in rnd.sample(range(64 * words), rnd.randint(0, distance)))
+            gaps = [((differ >> shift) & (1 << bits) - 1).bit_count() for shift, bits, _ in segs]
+            assert any(r >= 0 and g <= r // 2 + (r - r // 2) for g, (_, _, r) in zip(gaps, segs))
+    assert [segments_for(n, 23, 128) for n in (10, 1 << 20, 1 << 25, 1 << 40)] == [8, 8, 6, 4]
+
+
 @pytest.mark.parametrize("make", [exact_dedup_report, drop_exact_copies, remove_repeated_words, remove_repeated_bytes, simhash_components, drop_near_copies])
 def test_empty_table_and_null_ids(spark, rows, make):
     assert make(frame(spark, []).coalesce(1)).count() == 0

@@ -20,7 +20,7 @@ def test_stages(spark, tmp_path):
         if name == "exact_dedup":
             want = [r for r in want if r["doc_id"] in {k[0] for k in brute.exact(want) if k[3]}]
         if name == "near_dedup":
-            roots = {v[1] for v in brute.near(want).values()}
+            roots = {v[1] for v in brute.near_copies(want).values()}
             want = [r for r in want if r["doc_id"] in roots]
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
         docs.write.parquet(out := f"{tmp_path}/{name}")
