@@ -5,16 +5,23 @@ structural boilerplate (menus, headers and footers of the page, sidebars,
 notices, adverts, forms, reader comments) weigh nothing. Over windows of
 neighbouring lines the text lengths are summed; the sum surges where the article
 begins and dives where it ends, and all lines in between are kept, short ones
-too. A page marks its article (<article> or <main>) if a span outside has no more
-than ``TAG_WEIGHT`` times the text of the largest mark; then lines outside weigh
-nothing and all lines inside are kept. Else lines count without their link text
-and a surge needs ``SURGE`` characters. There a run of lines that weigh nothing is
-no dive if the text before and after it stands in one element, and every surge is
-kept unless it stands elsewhere than the heaviest and is mostly links.
+too. Lines count without their link text and a surge needs ``SURGE`` characters. A
+run of lines that weigh nothing is no dive if the text before and after it stands
+in one element; lines next to a span that stand in its element belong to it; and
+every surge is kept unless it stands elsewhere than the heaviest and is mostly
+links. A page marks its article (<article> or <main>) if a span outside has no
+more than ``TAG_WEIGHT`` times the text of the largest mark; then lines outside
+weigh nothing, lines inside weigh all their text, and the marks are one element:
+all they hold but boilerplate is kept.
+
+A class or id names boilerplate if it ends in a word for it, numbers and words for
+boxes aside ("ad-slot-2", not "comments-open"). Names decide nothing on a page
+that would have no article otherwise.
 
 Defined cases: null or empty html gives an empty text; markup that is cut off or
 never closed is read as far as it goes; a page without any surge gives its
-heaviest short text; repeated rows are each extracted.
+heaviest short text; repeated rows are each extracted; other columns do not
+matter, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -43,17 +50,25 @@ INLINE = {
 }
 BOILERPLATE = {"nav", "footer", "aside", "form", "svg", "canvas", "object", "select", "button", "menu", "dialog", "head", "audio", "video", "math", "fieldset"}
 MARKED = {"article", "main"}
+#: The number of the element that a page's marks make up.
+ARTICLE = -1
 #: A start of one of these ends an open paragraph.
 ENDS_P = {
     "address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5",
     "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul",
 }
-NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|adsense|banners?|sponsor(?:ed|s)?|promos?|promotions?|sidebars?|widgets?|navbar|navigation|navs?|menus?|breadcrumbs?"
-    r"|footer|topbar|cookies?|consent|gdpr|notices?|alerts?|popups?|modals?|overlay|newsletter|subscribe|subscription|signup|login|comments?|commentlist|disqus|respond|repl(?:y|ies)"
-    r"|share|sharing|social|related|recommend(?:ed|ations)?|pagination|pager|toolbar|search|searchform|copyright|disclaimer|legal|skip-link|tags?|metadata)(?:$|[\s_-]|\d)",
-    re.I,
-)
+#: Words that a class or an id ends in if it names boilerplate.
+NAMES = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising adsense banner banners sponsor sponsors sponsored promo promos promotion promotions "
+    "sidebar sidebars widget widgets navbar navigation nav navs menu menus breadcrumb breadcrumbs footer topbar cookie cookies consent gdpr notice notices "
+    "alert alerts popup popups modal modals overlay newsletter subscribe subscription signup login comment comments commentlist disqus respond reply replies "
+    "share sharing social related recommend recommended recommendation recommendations pagination pager toolbar search searchform copyright disclaimer legal "
+    "skip tag tags metadata".split())
+#: Words for boxes, which may follow.
+BOXES = frozenset(
+    "area bar block box body bottom btn button buttons col column container content count author field form footer group header headline icon icons inner input "
+    "item items label left link links list message meta outer panel posts right row section slot text this title top unit widget wrap wrapper wrapping zone cloud".split())
+PARTS = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]*")
 #: Elements that divide a page; others only shape the text inside.
 HOLDERS = {"div", "article", "main", "td", "center"}
 #: Inside an article a header holds its title.
@@ -81,7 +96,17 @@ def _attributes(inside: str) -> dict[str, str]:
     return {m[1].lower(): entities.unescape((m[2] or "").strip("\"'")) for m in ATTRIBUTE.finditer(inside)}
 
 
-def _is_boilerplate(name: str, inside: str, in_marked: bool) -> bool:
+def _names_boilerplate(name: str) -> bool:
+    """Whether a class or id does: its last word that is not for a box."""
+    for part in reversed(PARTS.findall(name)):
+        if part.lower() in NAMES:
+            return True
+        if part.lower() not in BOXES:
+            return False
+    return False
+
+
+def _is_boilerplate(name: str, inside: str, in_marked: bool, by_names: bool = True) -> bool:
     if name in BOILERPLATE or name == "header" and not in_marked:
         return True
     if not inside.strip() or name in ("html", "body"):
@@ -89,10 +114,12 @@ def _is_boilerplate(name: str, inside: str, in_marked: bool) -> bool:
     a = _attributes(inside)
     if "hidden" in a or a.get("aria-hidden") == "true" or HIDDEN.search(a.get("style", "")) or a.get("role", "").lower() in ROLES:
         return True
+    if not by_names:
+        return False
     if name in MARKED and not re.search(r"comment|teaser|related|promo|\bads?\b|sponsor", a.get("class", "") + " " + a.get("id", ""), re.I):
         return False
     names = [n for k in ("class", "id") for n in a.get(k, "").split() if not ABOUT_LAYOUT.match(n)]
-    return any(NAMES.search(n) or not in_marked and PAGE_HEADER.search(n) for n in names)
+    return any(_names_boilerplate(n) or not in_marked and PAGE_HEADER.search(n) for n in names)
 
 
 def tokens(html: str) -> Iterator[tuple[str, str, str]]:
@@ -132,7 +159,7 @@ def tokens(html: str) -> Iterator[tuple[str, str, str]]:
             yield "open", name, inside
 
 
-def lines_of(html: str) -> list[Line]:
+def lines_of(html: str, by_names: bool = True) -> list[Line]:
     """The page's blocks, each with what it stands in."""
     # name, boilerplate, marked, and the numbers of the nearest holder, the one around it and the outermost mark
     stack: list[tuple[str, bool, bool, int, int, int]] = [("", False, False, 0, 0, 0)]
@@ -157,7 +184,7 @@ def lines_of(html: str) -> list[Line]:
                 linked += len(name)
         elif kind == "open":
             if name in INLINE:
-                hide = inside and _is_boilerplate(name, inside, stack[-1][2])
+                hide = inside and _is_boilerplate(name, inside, stack[-1][2], by_names)
                 if hide and name not in VOID:
                     flush()
                     stack.append((name, True, *stack[-1][2:]))
@@ -174,7 +201,7 @@ def lines_of(html: str) -> list[Line]:
             _, boiler, marked, holder, outer, mark = stack[-1]
             if name in MARKED and boiler and not any(x[2] for x in stack):
                 boiler = False  # a menu or header that was never closed
-            own = _is_boilerplate(name, inside, marked)
+            own = _is_boilerplate(name, inside, marked, by_names)
             if name in HOLDERS:
                 opened += 1
                 holder, outer = opened, holder
@@ -240,17 +267,29 @@ def bridged(lines: list[Line], lengths: list[int]) -> list[int]:
     return out + gap
 
 
-def article_spans(lines: list[Line], lengths: list[int]) -> list[tuple[int, int]]:
-    """Spans of lines [first, stop) that are the article of a page that marks none."""
+def widened(lines: list[Line], at: list[int], weights: list[int], spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans of places with the lines of text next to them that stand in their element."""
+    out: list[tuple[int, int]] = []
+    for a, b in spans:
+        while a > (out[-1][1] if out else 0) and weights[a - 1] and lines[at[a - 1]].holders & lines[at[a]].holders:
+            a -= 1
+        while b < len(at) and weights[b] and lines[at[b]].holders & lines[at[b - 1]].holders:
+            b += 1
+        out.append((a, b))
+    return out
+
+
+def article_spans(lines: list[Line], lengths: list[int], surge: int = SURGE) -> list[tuple[int, int]]:
+    """Spans of lines [first, stop) that are the page's article."""
     at = bridged(lines, lengths)
     weights = [lengths[i] for i in at]
-    spans = line_blocks(weights, SURGE)
+    spans = line_blocks(weights, surge)
     short = not spans
-    if short:  # no surge: the whole article is short
+    if short and surge > 1:  # no surge: the whole article is short
         spans = line_blocks(weights, 1)
     if not spans:
         return []
-    found = [(at[a], at[b - 1] + 1) for a, b in spans]
+    found = [(at[a], at[b - 1] + 1) for a, b in widened(lines, at, weights, spans)]
     first, stop = max(found, key=lambda s: sum(lengths[s[0] : s[1]]))
     holders = frozenset().union(*(x.holders for x in lines[first:stop]))
 
@@ -284,13 +323,26 @@ def declares_article(lines: list[Line], lengths: list[int]) -> bool:
 
 def main_text(html: str | None) -> str:
     lines = lines_of(html or "")
-    lengths = [max(0, len(x.text) - 2 * x.linked) if not x.boiler else 0 for x in lines]
+    text = article_of(lines)
+    if not text and any(x.boiler for x in lines):  # is all of it boilerplate by its name only?
+        lines = lines_of(html or "", by_names=False)
+        if line_blocks(_plain_lengths(lines), SURGE):
+            text = article_of(lines)
+    return text
+
+
+def _plain_lengths(lines: list[Line]) -> list[int]:
+    return [max(0, len(x.text) - 2 * x.linked) if not x.boiler else 0 for x in lines]
+
+
+def article_of(lines: list[Line]) -> str:
+    lengths = _plain_lengths(lines)
     declared = declares_article(lines, lengths)
-    if declared:
-        spans = line_blocks([len(x.text) if x.marked and not x.boiler else 0 for x in lines], 1)
-    else:
-        spans = article_spans(lines, lengths)
-    return " ".join(x.text for a, b in spans for x in lines[a:b] if not x.boiler and (x.marked or not declared))
+    if declared:  # what is inside the marks stands in one element; nothing else weighs
+        lengths = [len(x.text) if x.marked and not x.boiler else 0 for x in lines]
+        for x in lines:
+            x.holders = frozenset((ARTICLE,)) if x.marked else frozenset()
+    return " ".join(x.text for a, b in article_spans(lines, lengths) for x in lines[a:b] if not x.boiler and (x.marked or not declared))
 
 
 def visible_text(html: str | None) -> str:
