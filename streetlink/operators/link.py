@@ -106,15 +106,12 @@ def link(queries: DataFrame, base: DataFrame, threshold: float = THRESHOLD, tole
     """
     pairs = scored(candidates(queries, base, tolerance, max_block_scan), threshold, tolerance)
     hits = pairs.filter("is_match").select("query_id", "record_id", "score", "ordinal", "base")
-    best = hits.groupBy("query_id", "record_id").agg(F.max_by(F.struct("score", "base"), F.struct("score", (-F.col("ordinal")).alias("o"))).alias("x")) if _is_number(base, "ordinal") else hits.groupBy("query_id", "record_id").agg(F.max_by(F.struct("score", "base"), F.col("score")).alias("x"))
+    # least by the negated score and then the ordinal, which may be of any type that has an order
+    best = hits.groupBy("query_id", "record_id").agg(F.min_by(F.struct("score", "base"), F.struct((-F.col("score")).alias("s"), "ordinal")).alias("x"))
     ranked = best.select("query_id", "record_id", "x.score", F.col("x.base").alias("base"))
     return ranked.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "record_id")))
 
 
-def _is_number(df: DataFrame, col: str) -> bool:
-    return df.schema[col].dataType.typeName() in ("integer", "long", "short", "byte", "double", "float", "decimal")
-
-
 def link_summary(queries: DataFrame, base: DataFrame, threshold: float = THRESHOLD, tolerance: int = TOLERANCE, max_block_scan: int | None = None) -> DataFrame:
     """One row per query: what was compared and what was found.
 
@@ -150,10 +147,16 @@ def explain_links(queries: DataFrame, links: DataFrame, threshold: float = THRES
 
 
 def index_stats(base: DataFrame, id_col: str, address_col: str) -> DataFrame:
-    """One row: distinct records, blocks, rejected addresses, largest block."""
+    """One row: distinct records, blocks, rejected addresses, largest block.
+
+    One parse and one shuffle: each address counts once under its block and once
+    under its record.
+    """
     parsed = parse(base.select(F.col(id_col).alias("record_id"), F.col(address_col).alias("address")), "address", "p")
-    keyed = parsed.withColumns(keys(F.col("p")))
-    ids = keyed.filter("p.parse_ok").agg(F.count_distinct("record_id").alias("records"))
-    blocks = keyed.filter("p.parse_ok").groupBy(*[f"k_{f}" for f in FACE], "k_plate").count().agg(F.count(F.lit(1)).alias("blocks"), F.coalesce(F.max("count"), F.lit(0)).alias("max_block_size"))
-    rejected = keyed.agg(F.count_if(~F.col("p.parse_ok")).alias("rejected"))
-    return ids.crossJoin(blocks).crossJoin(rejected)
+    block = [F.col(k) for k in keys(F.col("p"))]
+    keyed = parsed.withColumns(keys(F.col("p"))).select("record_id", F.col("p.parse_ok").alias("ok"), *block)
+    counted = keyed.groupingSets([[F.col("ok"), F.col("record_id")], [F.col("ok"), *block]], "ok", "record_id", *block).agg(F.count(F.lit(1)).alias("n"), F.grouping("record_id").alias("is_block"))
+    one, ok = F.col("is_block") == 0, F.col("ok")
+    return counted.agg(
+        F.count_if(ok & one & F.col("record_id").isNotNull()).alias("records"), F.count_if(ok & ~one).alias("blocks"),
+        F.coalesce(F.max(F.when(ok & ~one, F.col("n"))), F.lit(0)).alias("max_block_size"), F.coalesce(F.sum(F.when(~ok & ~one, F.col("n"))), F.lit(0)).alias("rejected"))

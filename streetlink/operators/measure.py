@@ -40,9 +40,13 @@ def coverage(parsed: DataFrame, column: str) -> dict[str, DataFrame]:
     ranked = lambda df, name, n: df.groupBy(name).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), name).limit(n)
 
     def with_examples(df: DataFrame, name: str, keep: int) -> DataFrame:
+        """Counts, and the first few texts of each; the filter on the rank lets every task
+        drop all but its own first few before they are sent."""
         w = Window.partitionBy(name).orderBy(column)
-        some = df.withColumn("r", F.row_number().over(w))
-        return some.groupBy(name).agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(F.when(F.col("r") <= keep, F.col(column)))).alias("examples"))
+        first = df.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= keep)
+        first = first.groupBy(name).agg(F.sort_array(F.collect_list(column)).alias("examples")).withColumnRenamed(name, "__name")
+        counts = df.groupBy(name).agg(F.count(F.lit(1)).alias("n"))
+        return counts.join(first, F.col(name).eqNullSafe(F.col("__name"))).drop("__name")
 
     kinds = parsed.select(F.explode("p.complement").alias("c")).select("c.kind").filter(~F.col("kind").isin(list(KINDS)))
     return {

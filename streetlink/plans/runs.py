@@ -7,6 +7,7 @@ come to the driver, where reports are formatted.
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -26,11 +27,19 @@ def _rows(df: DataFrame) -> list[dict]:
     return [r.asDict(recursive=True) for r in df.collect()]
 
 
-def evaluate(base: DataFrame, sample: int | None = 20_000, seed: int = 42, max_pairs: int = 200_000, link_sample: int = 5_000) -> dict:
-    """Tables A to H over a base (rid, address, parcel), without timings.
+#: What each table of an evaluation is about.
+HEADINGS = {
+    "A": "parse coverage", "B": "self-match and symmetry", "C": "other spellings of an address", "D": "addresses that differ in one field", "E": "false links between records",
+    "F": "thresholds and plate tolerances", "G": "throughput and memory", "H": "records linked back to the base",
+}
+Log = Callable[[str], None]
 
-    A coverage, B self-match and symmetry, C variants, D mutations, E false
-    links, F thresholds, H linking back.
+
+def evaluate(base: DataFrame, sample: int | None = 20_000, seed: int = 42, max_pairs: int = 200_000, link_sample: int = 5_000, timings: bool = False, log: Log | None = None) -> dict:
+    """Tables A to H over a base (rid, address, parcel); see HEADINGS.
+
+    ``timings`` adds G, whose figures differ from run to run. ``log`` is called with
+    a line before each table.
     """
     held: list[DataFrame] = []
 
@@ -40,13 +49,13 @@ def evaluate(base: DataFrame, sample: int | None = 20_000, seed: int = 42, max_p
         return held[-1]
 
     try:
-        return _tables(base, sample, seed, max_pairs, link_sample, hold)
+        return _tables(base, sample, seed, max_pairs, link_sample, hold, timings, log or (lambda line: None))
     finally:
         for df in held:
             df.unpersist()
 
 
-def _tables(base: DataFrame, sample: int | None, seed: int, max_pairs: int, link_sample: int, hold: Callable[[DataFrame], DataFrame]) -> dict:
+def _tables(base: DataFrame, sample: int | None, seed: int, max_pairs: int, link_sample: int, hold: Callable[[DataFrame], DataFrame], timings: bool, log: Log) -> dict:
     parcel = F.coalesce("parcel", F.col("rid").cast("string")) if "parcel" in base.columns else F.col("rid").cast("string")
     parsed = hold(parse(base.withColumn("own_id", parcel), "address", "p"))
     ok = parsed.filter("p.parse_ok")
@@ -60,20 +69,52 @@ def _tables(base: DataFrame, sample: int | None, seed: int, max_pairs: int, link
     drawn = hold(pairs.sample_rows(ok.select("rid", "own_id", "address", "p"), "rid", link_sample, seed))
     one = variants.positive_variants(drawn, "address", "p").groupBy("rid", "own_id").agg(F.min_by("variant", F.xxhash64(F.lit(seed), "kind")).alias("text"))
     linked = {}
+    log(f"H {HEADINGS['H']}")
     for name, q in (("exact", drawn.select("rid", "own_id", F.col("address").alias("text"))), ("variant", one)):
         asked = hold(parse_queries(q, "rid", "text"))
         own = q.select(F.col("rid").alias("query_id"), "own_id")
         linked[name] = _rows(measure.link_quality(hold(link_summary(asked, blocked)), hold(link(asked, blocked)), own))[0]
-    return {
-        "seed": seed,
-        "A": {k: _rows(v) for k, v in measure.coverage(parsed, "address").items()},
-        "B": {"self_match": _rows(some.agg(F.count(F.lit(1)).alias("n"), F.count_if(score(F.col("p"), F.col("p")) != 1).alias("violations")))[0], "symmetry": _rows(measure.symmetry(both_ways, "p", "again"))[0]},
-        "C": _rows(measure.variant_hits(spelled, "p", "again").orderBy("kind")),
-        "D": _rows(measure.mutation_outcomes(changed, "p", "again").orderBy("kind")),
-        "E": {"same_face": _rows(measure.false_links(records, max_pairs, seed)), "ambiguity": _rows(measure.ambiguity(records))[0], "hard_negatives": _rows(measure.hard_negatives(records, max_pairs, seed))},
-        "F": _rows(measure.confusion(labelled, "p", "again", "y").orderBy("plate_tolerance", "threshold")),
-        "H": {"index": _rows(index_stats(parsed, "own_id", "address"))[0], **linked},
+    tables: dict[str, Callable[[], object]] = {
+        "A": lambda: {k: _rows(v) for k, v in measure.coverage(parsed, "address").items()},
+        "B": lambda: {"self_match": _rows(some.agg(F.count(F.lit(1)).alias("n"), F.count_if(score(F.col("p"), F.col("p")) != 1).alias("violations")))[0], "symmetry": _rows(measure.symmetry(both_ways, "p", "again"))[0]},
+        "C": lambda: _rows(measure.variant_hits(spelled, "p", "again").orderBy("kind")),
+        "D": lambda: _rows(measure.mutation_outcomes(changed, "p", "again").orderBy("kind")),
+        "E": lambda: {"same_face": _rows(measure.false_links(records, max_pairs, seed)), "ambiguity": _rows(measure.ambiguity(records))[0], "hard_negatives": _rows(measure.hard_negatives(records, max_pairs, seed))},
+        "F": lambda: _rows(measure.confusion(labelled, "p", "again", "y").orderBy("plate_tolerance", "threshold")),
+        "G": lambda: throughput(base, some, drawn.select("rid", F.col("address").alias("text")), seed),
     }
+    out: dict = {"seed": seed}
+    for name, table in tables.items():
+        if name != "G" or timings:
+            log(f"{name} {HEADINGS[name]}")
+            out[name] = table()
+    return out | {"H": {"index": _rows(index_stats(parsed, "own_id", "address"))[0], **linked}}
+
+
+def throughput(base: DataFrame, some: DataFrame, asked: DataFrame, seed: int) -> dict:
+    """Seconds and rows a second of parsing, comparing, building the blocked base and
+    linking, each run to its end without keeping a result, and the memory in use."""
+    spark = base.sparkSession
+    out: dict = {}
+
+    def timed(name: str, df: DataFrame, rows: int) -> None:
+        began = time.perf_counter()
+        df.write.format("noop").mode("overwrite").save()
+        took = time.perf_counter() - began
+        out[name] = {"rows": rows, "seconds": round(took, 3), "rows_per_second": round(rows / took), "microseconds_a_row": round(1e6 * took / max(rows, 1), 1)}
+
+    text = base.select("rid", "address")
+    n, asked_n = text.count(), asked.count()
+    timed("parse", parse(text, "address", "p"), n)
+    couples = pairs.consecutive_pairs(some.select("rid", "p"), seed)
+    timed("compare", pairs.with_scores(couples), couples.count())
+    blocked = block_base(text, "rid", "address", "rid")
+    timed("block_base", blocked, n)
+    timed("link", link_summary(parse_queries(asked, "rid", "text"), blocked), asked_n)
+    java = spark.sparkContext._jvm.java.lang.Runtime.getRuntime()
+    executors = spark.sparkContext._jsc.sc().getExecutorMemoryStatus().size()
+    out["memory"] = {"driver_heap_used_mb": (java.totalMemory() - java.freeMemory()) >> 20, "driver_heap_max_mb": java.maxMemory() >> 20, "executors": executors}
+    return out
 
 
 def as_text(result: dict) -> str:
@@ -93,7 +134,8 @@ def as_text(result: dict) -> str:
             for k, v in x.items():
                 walk(f"{name} {k}".strip(), v)
         elif isinstance(x, (dict, list)):
-            out.append(f"\n== {name}")
+            heading = HEADINGS.get(name.split(" ")[0])
+            out.append(f"\n== {name}" + (f" ({heading})" if heading else ""))
             table(x if isinstance(x, list) else [x])
         else:
             out.append(f"{name}: {x}")
@@ -102,16 +144,21 @@ def as_text(result: dict) -> str:
     return "\n".join(out) + "\n"
 
 
-def build_pairs(records: DataFrame, out_dir: str, private_dir: str, seed: int = 20260926, n_synthetic: int = 250, per_stratum: int = 60, n_sanity: int = 30, scorer: Callable[[Column, Column], Column] = score) -> dict:
+def build_pairs(records: DataFrame, out_dir: str, private_dir: str, seed: int = 20260926, n_synthetic: int = 250, per_stratum: int = 60, n_sanity: int = 30, scorer: Callable[[Column, Column], Column] = score, registry: dict[str, transforms.Transform] | None = None, log: Log | None = None) -> dict:
     """Synthetic positives, candidates to label and random negatives of a base
     (rid, direccion, npn, manzana, comuna, barrio), as files; scores go apart.
 
-    Quotas that cannot be filled are reported as shortfalls.
+    Quotas that cannot be filled are reported as shortfalls. ``registry`` replaces
+    the transforms (then without combinations), ``scorer`` the score; ``log`` is
+    called with a line before each part.
     """
+    log = log or (lambda line: None)
+    log("synthetic positives")
     base = records.filter(F.trim("direccion") != "").filter(F.length("direccion") <= 160)
-    quota = -(-n_synthetic // (len(transforms.TRANSFORMS) + 1))
-    synthetic = _rows(transforms.synthetic_positives(base, "direccion", seed, quota).orderBy("transform", "pair_id").limit(n_synthetic))
+    quota = -(-n_synthetic // (len(registry) if registry else len(transforms.TRANSFORMS) + 1))
+    synthetic = _rows(transforms.synthetic_positives(base, "direccion", seed, quota, registry).orderBy("transform", "pair_id").limit(n_synthetic))
     synthetic = [r | {"same_door": True, "tier": "synthetic", "source_direccion": r["addr_a"]} for r in synthetic]
+    log("candidates")
     rows = parse(base, "direccion", "p")
     pools = pairs.strata_pools(rows, "direccion", seed).withColumn("score", scorer(F.col("p_a"), F.col("p_b")))
     facts = base.select("rid", "npn", "manzana", "comuna", "barrio")
@@ -121,6 +168,7 @@ def build_pairs(records: DataFrame, out_dir: str, private_dir: str, seed: int =
     chosen = pairs.select_candidates(_rows(scored), per_stratum, seed)
     keep = ("pair_id", "addr_a", "addr_b", "stratum", "npn_a", "npn_b", "comuna_a", "comuna_b", "barrio_a", "barrio_b")
     candidates = [{k: c[k] for k in keep} | {"same_manzana": c["manzana_a"] is not None and c["manzana_a"] == c["manzana_b"]} for c in chosen]
+    log("negatives and scores")
     drawn = pairs.random_negatives(base, "comuna", "direccion", n_sanity, seed).join(side("a"), "rid_a").join(side("b"), "rid_b")
     negatives = [{"pair_id": f"neg-{i:04}", "addr_a": r["direccion_a"], "addr_b": r["direccion_b"], "same_door": False, "tier": "sanity", "npn_a": r["npn_a"], "npn_b": r["npn_b"]} for i, r in enumerate(_rows(drawn.drop("comuna_a", "comuna_b")))]
     every = [(r["pair_id"], r["addr_a"], r["addr_b"]) for r in synthetic + candidates + negatives]

@@ -11,6 +11,7 @@ from __future__ import annotations
 import csv
 import io
 from collections.abc import Iterator
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,11 +49,11 @@ def read_rows(data: bytes, id_column: str, address_column: str, encoding: str =
         raise BaseFileError(f"{path}: line {reader.line_num}: {e}") from e
 
 
-def read_base(spark: SparkSession, path: str, id_column: str, address_column: str, encoding: str = "utf-8") -> DataFrame:
-    """(record_id, address, ordinal) of all files of a path, rows without an id left out.
+def read_base_rows(spark: SparkSession, path: str, id_column: str, address_column: str, encoding: str = "utf-8") -> DataFrame:
+    """(record_id, address, ordinal, blank_id) of all files of a path.
 
     Files come through Spark's binary reader, so any store that Spark reads will
-    do; each file (2 GB at most) is one task.
+    do; each file (2 GB at most) is one task, which hands its rows on as it reads them.
     """
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
@@ -61,18 +62,14 @@ def read_base(spark: SparkSession, path: str, id_column: str, address_column: st
 
         for pdf in batches:
             for p, content in zip(pdf["path"], pdf["content"]):
-                rows = list(enumerate(read_rows(bytes(content), id_column, address_column, encoding, p)))
-                for at in range(0, len(rows), 50_000):
-                    part = rows[at : at + 50_000]
+                rows = enumerate(read_rows(bytes(content), id_column, address_column, encoding, p))
+                while part := list(islice(rows, 50_000)):
                     yield pd.DataFrame({"record_id": [r[0] for _, r in part], "address": [r[1] for _, r in part], "file": p, "line": [i for i, _ in part]})
 
     rows = files.mapInPandas(run, "record_id string, address string, file string, line long")
-    return rows.withColumn("ordinal", F.struct("file", "line")).filter(~is_blank(F.col("record_id"))).drop("file", "line")
+    return rows.select("record_id", "address", F.struct("file", "line").alias("ordinal"), is_blank(F.col("record_id")).alias("blank_id"))
 
 
-def blank_ids(spark: SparkSession, path: str, id_column: str, address_column: str, encoding: str = "utf-8") -> int:
-    """How many rows have no id."""
-    n = 0
-    for row in spark.read.format("binaryFile").load(path).select("path", "content").toLocalIterator():
-        n += sum(1 for i, _ in read_rows(bytes(row.content), id_column, address_column, encoding, row.path) if not i.strip())
-    return n
+def read_base(spark: SparkSession, path: str, id_column: str, address_column: str, encoding: str = "utf-8") -> DataFrame:
+    """(record_id, address, ordinal) of all files of a path, rows without an id left out."""
+    return read_base_rows(spark, path, id_column, address_column, encoding).filter("not blank_id").drop("blank_id")

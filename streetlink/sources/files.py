@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators.labels import LabelError
 
+#: Column names, file names, the header of the label sheet and what it adds to a query.
 BASE_COLUMNS = ("direccion", "numero_predial_nacional", "manzana", "comuna", "barrio")
 PAIR_FILES = (("candidates_to_label.jsonl", "candidate"), ("synthetic_positives.jsonl", "synthetic"), ("random_negatives.jsonl", "sanity"))
 PAIR_SCHEMA = (

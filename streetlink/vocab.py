@@ -5,51 +5,107 @@ Fixed values: they decide which texts are the same address.
 
 from __future__ import annotations
 
-#: canonical code -> accepted spellings (a code is its own spelling)
-VIA_SPELLINGS = {
-    "CL": "CL CALLE CLL CLLE C",
-    "KR": "KR CARRERA CRA KRA CARR CRRA CR K",
-    "AV": "AV AVENIDA AVDA AVEN AVE A",
+#: Accepted spelling of a road type -> its code.
+VIA_TYPES = {
+    "CL": "CL",
+    "CALLE": "CL",
+    "CLL": "CL",
+    "CLLE": "CL",
+    "C": "CL",
+    "KR": "KR",
+    "CARRERA": "KR",
+    "CRA": "KR",
+    "KRA": "KR",
+    "CARR": "KR",
+    "CRRA": "KR",
+    "CR": "KR",
+    "K": "KR",
+    "AV": "AV",
+    "AVENIDA": "AV",
+    "AVDA": "AV",
+    "AVEN": "AV",
+    "AVE": "AV",
+    "A": "AV",
     "AC": "AC",
     "AK": "AK",
-    "DG": "DG DIAGONAL DIAG DIAGO D",
-    "TV": "TV TRANSVERSAL TRANSV TRV T",
-    "PJ": "PJ PASAJE",
-    "PS": "PS PASEO",
-    "CV": "CV CIRCUNVALAR",
-    "AU": "AU AUTOPISTA",
-    "CT": "CT CALLEJON",
+    "DG": "DG",
+    "DIAGONAL": "DG",
+    "DIAG": "DG",
+    "DIAGO": "DG",
+    "D": "DG",
+    "TV": "TV",
+    "TRANSVERSAL": "TV",
+    "TRANSV": "TV",
+    "TRV": "TV",
+    "T": "TV",
+    "PJ": "PJ",
+    "PASAJE": "PJ",
+    "PS": "PS",
+    "PASEO": "PS",
+    "CV": "CV",
+    "CIRCUNVALAR": "CV",
+    "AU": "AU",
+    "AUTOPISTA": "AU",
+    "CT": "CT",
+    "CALLEJON": "CT",
 }
-VIA_TYPES = {s: code for code, all_ in VIA_SPELLINGS.items() for s in all_.split()}
 TWO_WORD_VIA_TYPES = {"AVENIDA CALLE": "AC", "AVENIDA CARRERA": "AK"}
 
 QUADRANTS = ("NORTE", "SUR", "ESTE", "OESTE")
 QUADRANT_LETTERS = {"N": "NORTE", "S": "SUR", "E": "ESTE", "O": "OESTE", "W": "OESTE"}
 
-KIND_SPELLINGS = {
-    "AP": "AP APTO APT APART APARTAMENTO",
-    "TO": "TO TORRE",
-    "LC": "LC LOCAL LOC",
-    "CA": "CA CASA",
-    "ET": "ET ETAPA",
+#: Accepted spelling of a kind of complement -> its code.
+KINDS = {
+    "AP": "AP",
+    "APTO": "AP",
+    "APT": "AP",
+    "APART": "AP",
+    "APARTAMENTO": "AP",
+    "TO": "TO",
+    "TORRE": "TO",
+    "LC": "LC",
+    "LOCAL": "LC",
+    "LOC": "LC",
+    "CA": "CA",
+    "CASA": "CA",
+    "ET": "ET",
+    "ETAPA": "ET",
     "PISO": "PISO",
-    "BLQ": "BLQ BLOQUE BLOQ BL",
-    "MZ": "MZ MANZANA",
-    "LT": "LT LOTE",
+    "BLQ": "BLQ",
+    "BLOQUE": "BLQ",
+    "BLOQ": "BLQ",
+    "BL": "BLQ",
+    "MZ": "MZ",
+    "MANZANA": "MZ",
+    "LT": "LT",
+    "LOTE": "LT",
     "PH": "PH",
-    "OF": "OF OFICINA OFIC",
-    "ED": "ED EDIFICIO EDIF EDF",
-    "CONJ": "CONJ CONJUNTO",
-    "UR": "UR URBANIZACION",
-    "INT": "INT INTERIOR",
-    "PQ": "PQ PARQUEADERO",
-    "GA": "GA GARAJE",
-    "BG": "BG BODEGA",
-    "BR": "BR BARRIO",
-    "CGTO": "CGTO CORREGIMIENTO",
-    "VDA": "VDA VEREDA",
+    "OF": "OF",
+    "OFICINA": "OF",
+    "OFIC": "OF",
+    "ED": "ED",
+    "EDIFICIO": "ED",
+    "EDIF": "ED",
+    "EDF": "ED",
+    "CONJ": "CONJ",
+    "CONJUNTO": "CONJ",
+    "UR": "UR",
+    "URBANIZACION": "UR",
+    "INT": "INT",
+    "INTERIOR": "INT",
+    "PQ": "PQ",
+    "PARQUEADERO": "PQ",
+    "GA": "GA",
+    "GARAJE": "GA",
+    "BG": "BG",
+    "BODEGA": "BG",
+    "BR": "BR",
+    "BARRIO": "BR",
+    "CGTO": "CGTO",
+    "CORREGIMIENTO": "CGTO",
+    "VDA": "VDA",
+    "VEREDA": "VDA",
 }
-KINDS = {s: code for code, all_ in KIND_SPELLINGS.items() for s in all_.split()}
 OPAQUE_KIND = "?"
 
 MAX_TAIL = 40
@@ -80,6 +136,115 @@ LABELS = {
 }
 
 
+#: Code of a road type -> the word that a positive variant writes.
+VIA_LONG = {
+    "KR": "CARRERA",
+    "CL": "CALLE",
+    "AV": "AVENIDA",
+    "AC": "AVENIDA CALLE",
+    "AK": "AVENIDA CARRERA",
+    "DG": "DIAGONAL",
+    "TV": "TRANSVERSAL",
+    "PJ": "PASAJE",
+    "PS": "PASEO",
+    "CV": "CIRCUNVALAR",
+    "AU": "AUTOPISTA",
+    "CT": "CALLEJON",
+}
+#: Code of a road type -> its short form with a dot.
+VIA_DOTTED = {
+    "KR": "CRA.",
+    "CL": "CLL.",
+    "AV": "AV.",
+    "AC": "AC.",
+    "AK": "AK.",
+    "DG": "DG.",
+    "TV": "TV.",
+    "PJ": "PJ.",
+    "PS": "PS.",
+    "CV": "CV.",
+    "AU": "AU.",
+    "CT": "CT.",
+}
+#: Code of a kind -> the word that a positive variant writes.
+KIND_LONG = {
+    "AP": "APTO",
+    "TO": "TORRE",
+    "LC": "LOCAL",
+    "CA": "CASA",
+    "ET": "ETAPA",
+    "BLQ": "BLOQUE",
+    "MZ": "MANZANA",
+    "LT": "LOTE",
+    "OF": "OFICINA",
+    "ED": "EDIFICIO",
+    "CONJ": "CONJUNTO",
+    "INT": "INTERIOR",
+    "PQ": "PARQUEADERO",
+    "GA": "GARAJE",
+    "BG": "BODEGA",
+    "BR": "BARRIO",
+    "UR": "URBANIZACION",
+    "VDA": "VEREDA",
+    "CGTO": "CORREGIMIENTO",
+}
+#: Road type as written -> the word for it in synthetic positives.
+SYNTHETIC_TYPE_LONG = {
+    "KR": "CARRERA",
+    "K": "CARRERA",
+    "CARRERA": "CARRERA",
+    "CL": "CALLE",
+    "C": "CALLE",
+    "CALLE": "CALLE",
+    "AV": "AVENIDA",
+    "A": "AVENIDA",
+    "AVENIDA": "AVENIDA",
+    "DG": "DIAGONAL",
+    "D": "DIAGONAL",
+    "DIAGONAL": "DIAGONAL",
+    "TV": "TRANSVERSAL",
+    "T": "TRANSVERSAL",
+    "TRANSVERSAL": "TRANSVERSAL",
+    "CIRCULAR": "CIRCULAR",
+}
+#: Word for a road type -> its short forms in synthetic positives.
+SYNTHETIC_TYPE_SHORT = {
+    "CARRERA": ["KR", "CRA", "KRA", "K", "CR"],
+    "CALLE": ["CL", "CLL", "C"],
+    "AVENIDA": ["AV"],
+    "DIAGONAL": ["DG", "D"],
+    "TRANSVERSAL": ["TV", "T"],
+}
+#: Word for a road type -> short forms that are rarely written.
+SYNTHETIC_TYPE_NOVEL = {
+    "CARRERA": ["CARR", "CRRA"],
+    "AVENIDA": ["AVDA", "AVEN", "AVE"],
+    "DIAGONAL": ["DIAG", "DIAGO"],
+    "TRANSVERSAL": ["TRANSV", "TRV"],
+    "CIRCULAR": ["CIR", "CIRC"],
+}
+#: Code of a kind -> its words in synthetic positives.
+SYNTHETIC_KIND_LONG = {
+    "AP": ["APARTAMENTO", "APTO"],
+    "BLQ": ["BLOQUE", "BL"],
+    "ED": ["EDIFICIO"],
+    "CA": ["CASA"],
+    "LC": ["LOCAL"],
+    "OF": ["OFICINA"],
+    "INT": ["INTERIOR"],
+    "TO": ["TORRE"],
+    "PQ": ["PARQUEADERO"],
+}
+#: Code of a kind -> forms that are rarely written.
+SYNTHETIC_KIND_NOVEL = {
+    "AP": ["APT", "APT.", "APART"],
+    "LC": ["LOC", "LOC."],
+    "OF": ["OFIC"],
+    "ED": ["EDIF", "EDF"],
+    "BLQ": ["BLOQ"],
+}
+
+
 def alternation(words) -> str:
     """A regular expression for any of the words, longer ones first."""
     return "|".join(sorted(words, key=lambda w: (-len(w), w)))

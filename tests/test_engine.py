@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_parse import random_addresses
 
-from streetlink.cli import compare, find
+from streetlink.cli import compare, find, main, plain_report
 from streetlink.operators import labels, pairs
 from streetlink.operators.compare import InvalidThreshold, InvalidTolerance, match_pairs, match_parsed, rounded
 from streetlink.operators.link import block_base, explain_links, index_stats, link, link_summary, parse_queries, write_base
@@ -136,6 +136,46 @@ def test_bucketed_base_and_stats(spark, tmp_path):
     assert index_stats(raw, "rid", "addr").first().asDict() == {"records": 14, "blocks": 11, "max_block_size": 3, "rejected": 1}
 
 
+def test_the_first_address_of_a_record_wins_a_tie(spark):
+    """Whatever the type of the ordinal: a record's addresses in two files, spread over partitions."""
+    rows = [("p", f"KR 1 # 9 - 80 AP {n}" if n else A, ("b" if n % 2 else "a", n)) for n in range(8, -1, -1)] + [("q", "KR 1 # 9 - 80", ("a", 9))]
+    for kind, ordinal in (("struct<file:string,line:long>", lambda o: o), ("long", lambda o: (o[0] == "b") * 100 + o[1])):
+        base = spark.createDataFrame([(i, t, ordinal(o)) for i, t, o in rows], f"rid string, addr string, o {kind}").repartition(5)
+        q = parse_queries(spark.createDataFrame([(1, A)], "id int, addr string"), "id", "addr")
+        some = block_base(base.filter("addr like '%AP%'"), "rid", "addr", "o")
+        got = link(q, some).collect()
+        assert [(r.record_id, r["base"].complement[0].value) for r in got] == [("p", "2")], kind
+
+
+def test_index_statistics_take_one_parse(spark):
+    raw = spark.createDataFrame([*BASE, (None, A), ("p80", "nada"), ("p80", "CL 5 # 6 - 7")], "rid string, addr string")
+    stats = index_stats(raw, "rid", "addr")
+    assert stats.first().asDict() == {"records": 14, "blocks": 12, "max_block_size": 3, "rejected": 2}
+    plan = stats._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan") == 1
+    assert index_stats(raw.limit(0), "rid", "addr").first().asDict() == {"records": 0, "blocks": 0, "max_block_size": 0, "rejected": 0}
+
+
+def test_large_groups_give_pairs_within_reach(spark):
+    rows = parse(spark.createDataFrame([(i, f"KR 1 # 9 - 80 AP {i}") for i in range(30)] + [(90, "CL 1 # 2 - 3"), (91, "CL 1 # 2 - 3")], "rid int, a string"), "a", "p")
+    key = F.col("p.via_type")
+    every = {(r.rid_a, r.rid_b) for r in pairs.group_pairs(rows, key).collect()}
+    near = [(r.rid_a, r.rid_b) for r in pairs.group_pairs(rows, key, reach=4).collect()]
+    assert set(near) < every and len(near) == len(set(near)) == 30 * 4 - 10 + 1 and (90, 91) in near
+    assert {(r.rid_a, r.rid_b) for r in pairs.group_pairs(rows, key, reach=64).collect()} == every
+
+
+def test_shares_and_turns_of_bins():
+    for quota in range(0, 70):
+        shares = pairs.bin_shares(quota)
+        assert sum(shares) == quota and all(abs(s - quota * w / 6) < 1 for s, w in zip(shares, pairs.BIN_WEIGHTS))
+    pool = [{"rid_a": i, "rid_b": i + 100, "addr_a": "x", "addr_b": "y", "score": [0.5, 0.8, 0.87, 0.92, 1.0][i % 5]} for i in range(50)]
+    first = pairs.in_turn(pool, 12, 1)[:12]
+    assert sorted(sum(x["score"] >= e for e in pairs.BIN_EDGES) for x in first) == [0, 0, 1, 1, 2, 2, 2, 3, 3, 3, 4, 4]
+    twice = [x | {"rid_a": 1} for x in pool] + [x | {"addr_a": "y", "rid_a": 900 + i} for i, x in enumerate(pool)]
+    assert len(pairs.Claims().first(50, twice)) == 2  # one record twice, equal texts never
+
+
 def test_stream_gives_the_links_of_a_batch(spark, tmp_path):
     spark.createDataFrame([(1, A), (2, "KR 2 # 9")], "qid int, addr string").write.parquet(f"{tmp_path}/q")
     _, b = sides(spark, [])
@@ -199,6 +239,14 @@ def test_cli(spark, tmp_path):
     out = find(A, str(tmp_path / "b.csv"), "ID", "ADDR", tolerance=2, top=2)
     assert [c["id"] for c in out["candidatos"]] == ["p80", "p78"] and out["n_candidatos"] == 5 and out["registros"] == 14 and out["rechazados"] == 1 and out["mejor"]["puntaje"] == 1.0
     assert read_base(spark, str(tmp_path / "b.csv"), "ID", "ADDR").count() == len(BASE)
+    assert out["ids_vacios"] == 1 and len(out) == 17
+    lines = plain_report(out).split("\n")
+    assert lines[:4] == ["MATCH  candidatos=5  comparados=6  umbral=0.9", "consulta: KR 1 # 9 - 80", "base: 14 registros indexados, 1 rechazados, 1 sin id", "alternativas: 4"]
+    assert lines[4].startswith("nota: otras parcelas") and lines[5:] == ["1. p80  puntaje=1.0000  KR 1 # 9 - 80", "2. p78  puntaje=0.9600  KR 1 # 9 - 78", "... y 3 candidatos más"]
+    none = plain_report(find("nada", str(tmp_path / "b.csv"), "ID", "ADDR")).split("\n")
+    assert none[0] == "SIN_COINCIDENCIA  candidatos=0  comparados=0  umbral=0.9" and none[3].startswith("motivo: consulta no canónica")
+    cut = plain_report(find("KR 1 # 9", str(tmp_path / "b.csv"), "ID", "ADDR", max_block_scan=1))
+    assert "  TRUNCADO" in cut and "--max-block-scan" in cut
     both = compare(A, "KR 1 # 9 - 080")
     assert both["match"] and json.dumps(both) and list(both)[:3] == ["match", "resultado", "score"]
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
