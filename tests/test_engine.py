@@ -245,7 +245,7 @@ def test_cli(spark, tmp_path):
     assert lines[4].startswith("nota: otras parcelas") and lines[5:] == ["1. p80  puntaje=1.0000  KR 1 # 9 - 80", "2. p78  puntaje=0.9600  KR 1 # 9 - 78", "... y 3 candidatos más"]
     none = plain_report(find("nada", str(tmp_path / "b.csv"), "ID", "ADDR")).split("\n")
     assert none[0] == "SIN_COINCIDENCIA  candidatos=0  comparados=0  umbral=0.9" and none[3].startswith("motivo: consulta no canónica")
-    cut = plain_report(find("KR 1 # 9", str(tmp_path / "b.csv"), "ID", "ADDR", max_block_scan=1))
+    cut = plain_report(find("KR 2 # 9", str(tmp_path / "b.csv"), "ID", "ADDR", max_block_scan=1))
     assert "  TRUNCADO" in cut and "--max-block-scan" in cut
     both = compare(A, "KR 1 # 9 - 080")
     assert both["match"] and json.dumps(both) and list(both)[:3] == ["match", "resultado", "score"]
