@@ -113,7 +113,7 @@ _CHUNKS = f"""SELECT record_id, CASE WHEN tail <> '' THEN replace(tail, ' TO ',
 
 
 def render_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parsed_base(spark, sf_dir).filter("record_id < 10000000").select("record_id", render(F.col("p")).alias("canonical"))
+    return parsed_base(spark, sf_dir).select("record_id", render(F.col("p")).alias("canonical"))
 
 
 def own_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -249,7 +249,7 @@ def oracle_sql() -> dict[str, str]:
         "note_counts": f"SELECT split_part(note, ':', 1) AS family, count(*) AS n FROM ({BASE}) WHERE bad GROUP BY 1",
         "restore_hash": _WITH_HASH,
         "complement_chunks": _CHUNKS,
-        "render_canonical": f"SELECT record_id, CASE WHEN bad THEN raw ELSE canonical END AS canonical FROM ({BASE}) WHERE record_id < 10000000",
+        "render_canonical": f"SELECT record_id, CASE WHEN bad THEN raw ELSE canonical END AS canonical FROM ({BASE})",
         "score_own": _own_sql(0, 0.9),
         "score_tolerance": _own_sql(2, 0.95),
         "match_reason": _REASON,

@@ -289,6 +289,21 @@ def sampled_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select("rid_a", "rid_b", classify.classify_pair(F.col("p_a"), F.col("p_b")).alias("category"))
 
 
+_HASH_SAMPLE = f"SELECT rid, raw FROM (SELECT rid, raw FROM ({GRID}) ORDER BY md5('42:' || rid), rid LIMIT 100)"
+_SAMPLED = f"""WITH {_G}, k AS (SELECT *, count(*) OVER (PARTITION BY vt, vn, ct, cn) AS m, row_number() OVER (PARTITION BY vt, vn, ct, cn ORDER BY md5('42:' || rid), rid) AS place FROM g),
+  t AS (SELECT CAST(sum((m - 1) / 2.0) AS DOUBLE) AS total FROM k),
+  q AS (SELECT k.*, total, CASE WHEN total <= 2000 THEN m * (m - 1) // 2 ELSE least(m * (m - 1) // 2, greatest(1, CAST(round((m * (m - 1) // 2) * (2000 / total)) AS BIGINT))) END AS quota FROM k, t WHERE m > 1),
+  r AS (SELECT *, CASE WHEN total <= 2000 THEN m - 1 ELSE least(m - 1, CAST(ceil(2.0 * quota / m) AS BIGINT) + 1) END AS reach FROM q),
+  d AS (SELECT a.rid AS r1, b.rid AS r2, a.quota, row_number() OVER (PARTITION BY a.vt, a.vn, a.ct, a.cn ORDER BY md5('42:' || a.rid || ':' || b.rid), a.rid, b.rid) AS r
+    FROM r a JOIN r b ON {_EQ('vt', 'vn', 'ct', 'cn')} AND b.place > a.place AND b.place <= a.place + a.reach),
+  p AS (SELECT least(r1, r2) AS lo, greatest(r1, r2) AS hi FROM d WHERE r <= quota)
+  SELECT lo AS rid_a, hi AS rid_b, {_CATEGORY} AS category FROM p JOIN g a ON a.rid = lo JOIN g b ON b.rid = hi"""
+_NEGATIVES = f"""WITH d AS (SELECT rid, raw, n, row_number() OVER (ORDER BY md5('20260926:' || rid), rid) AS place FROM ({GRID}) WHERE trim(raw) <> ''),
+  s AS (SELECT * FROM d WHERE place <= 20 * 30 + 100)
+  SELECT rid_a, rid_b, raw_a, raw_b FROM (SELECT a.rid AS rid_a, b.rid AS rid_b, a.raw AS raw_a, b.raw AS raw_b, row_number() OVER (ORDER BY a.place) AS r
+    FROM s a JOIN s b ON b.place = a.place + 1 AND a.n IS DISTINCT FROM b.n AND a.raw <> b.raw) WHERE r <= 30"""
+
+
 def symmetry_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = pairs.consecutive_pairs(grid(spark, sf_dir).select("rid", "p"), seed=42).select(F.col("p_a").alias("p"), F.col("p_b").alias("again"))
     changed = _mutants(spark, sf_dir).select("p", "again")
@@ -346,6 +361,7 @@ def oracle_sql() -> dict[str, str]:
         "ambiguity_groups": _AMBIGUITY, "hard_negatives": _HARD, "positive_variants_recall": _VARIANTS, "mutation_outcomes": _mutations_sql(), "threshold_confusion": _confusion_sql(),
         "score_histogram": _histogram_sql(), "shape_signature_top": _SHAPES_SQL, "failure_causes": f"SELECT {_cases(_CAUSES.values())} AS cause, count(*) AS n FROM customer GROUP BY 1", "coverage_causes": _COVERAGE,
         "pair_ids": _PAIR_IDS, "split_addresses": _SPLIT, "labels_eval": _LABELS_EVAL, "labels_coverage": _LABELS_COVERAGE, "link_quality": _link_quality_sql(),
+        "hash_sample": _HASH_SAMPLE, "sampled_pairs": _SAMPLED, "random_negatives": _NEGATIVES,
         "symmetry_check": "SELECT CAST(0 AS BIGINT) AS violations", "self_match": f"SELECT count(CASE WHEN NOT bad THEN 1 END) AS n, CAST(0 AS BIGINT) AS violations, CAST(0 AS BIGINT) AS unparsed_above_zero FROM ({GRID})",
     }
 

@@ -73,7 +73,9 @@ def _address(keys: str) -> str:
 BASE = f"""
 SELECT k AS record_id, n, vt, vn, vl, vs, vb, vq, ct, cn, pl, pc, tail, opq, canonical, raw, note, bad FROM ({_address(_BASE_KEYS)}) b
 UNION ALL
-SELECT 10000000 + k, n, vt, vn, vl, vs, vb, vq, ct, cn, pl, pc, '', false, CAST(NULL AS STRING),
+SELECT 10000000 + k, n, vt, vn, vl, vs, vb, vq, ct, cn, pl, pc, '', false,
+  concat(vt, ' ', vn, coalesce(' ' || vl, ''), coalesce(' ' || vs, ''), CASE WHEN vb THEN ' BIS' ELSE '' END, coalesce(' ' || vq, ''), ' #',
+    CASE WHEN cn IS NULL THEN '' ELSE concat(coalesce(' ' || ct, ''), ' ', cn) END, CASE WHEN pl IS NULL THEN '' ELSE concat(' - ', lpad(CAST(pl AS STRING), 2, '0'), coalesce(pc, '')) END),
   concat(vt, ' ', vn, coalesce(' ' || vl, ''), coalesce(' ' || vs, ''), CASE WHEN vb THEN ' BIS' ELSE '' END, coalesce(' ' || vq, ''), ' # ',
     CASE WHEN cn IS NULL THEN '' ELSE concat(coalesce(ct || ' ', ''), cn) END, ' - ', CASE WHEN pl IS NULL THEN '' ELSE concat(pl, coalesce(' ' || pc, '')) END), CAST(NULL AS STRING), false
 FROM ({_address(_BASE_KEYS)}) c WHERE k % 10 = 0 AND NOT bad"""
