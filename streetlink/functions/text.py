@@ -42,7 +42,7 @@ def _folds() -> tuple[str, str, dict[str, str]]:
 def fold(c: Column) -> Column:
     """Compatibility decomposition without combining marks; ASCII passes untouched."""
     source, target, longer = _folds()
-    table = F.create_map(*[F.lit(x) for pair in longer.items() for x in pair])
+    table = literal_map(longer)
     one = F.translate(c, source, target)
     some = "[" + "".join(f"\\x{{{ord(k):x}}}" for k in longer) + "]"
     several = F.array_join(F.transform(F.split(one, ""), lambda x: F.coalesce(F.try_element_at(table, x), x)), "")
@@ -99,8 +99,14 @@ def strip_zeros(c: Column) -> Column:
     return F.regexp_replace(c, "^0+(?=[0-9])", "")
 
 
+def literal_map(table: dict[str, str]) -> Column:
+    """A table as one constant, which the optimizer folds; a literal for each entry
+    would cost a call to the JVM each whenever a plan is built."""
+    return F.str_to_map(F.lit("\x01".join(f"{k}\x02{v}" for k, v in table.items())), F.lit("\x01"), F.lit("\x02"))
+
+
 def lookup(c: Column, table: dict[str, str]) -> Column:
-    return F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), c)
+    return F.try_element_at(literal_map(table), c)
 
 
 def or_null(c: Column) -> Column:

@@ -41,15 +41,16 @@ def checked_tolerance(value: object) -> int:
 
 
 class Comparison:
-    """One field of two addresses: status, penalty and veto as columns."""
+    """One field of two addresses: penalty and veto as columns (None: neither), and
+    functions for what only a shown comparison has, so that a score does not build it."""
 
-    def __init__(self, field: str, a: Column, b: Column, status: Column, penalty: Column | None, veto: Column | None):
-        self.field, self.a, self.b, self.status = field, a, b, status
-        self.penalty = F.lit(0.0) if penalty is None else penalty
-        self.veto = F.lit(False) if veto is None else veto
+    def __init__(self, field: str, shown: Callable[[], tuple[Column, Column]], status: Callable[[], Column], penalty: Column | None, veto: Column | None):
+        self.field, self.shown, self.status, self.penalty, self.veto = field, shown, status, penalty, veto
 
     def struct(self) -> Column:
-        return F.struct(F.lit(self.field).alias("field"), self.a.alias("a"), self.b.alias("b"), self.status.alias("status"), self.penalty.alias("penalty"), self.veto.alias("veto"))
+        a, b = self.shown()
+        penalty, veto = F.lit(0.0) if self.penalty is None else self.penalty, F.lit(False) if self.veto is None else self.veto
+        return F.struct(F.lit(self.field).alias("field"), a.alias("a"), b.alias("b"), self.status().alias("status"), penalty.alias("penalty"), veto.alias("veto"))
 
 
 def _status(a: Column, b: Column) -> Column:
@@ -74,7 +75,7 @@ def _plate(a: Column, b: Column, tolerance: int, penalties: dict) -> Comparison:
         F.when(x.isNull() & y.isNull(), "ausente_en_ambos").when(x.isNull() | y.isNull(), "solo_en_uno").when(x == y, "igual")
         .when(~letters, "difiere").when(near == 0, "equivalente").when(near <= tolerance, "dentro_tolerancia").otherwise("difiere")
     )
-    return Comparison("plate", x, y, status, F.when(status == "dentro_tolerancia", penalties["plate_tolerance"]).otherwise(0.0), status.isin("solo_en_uno", "difiere"))
+    return Comparison("plate", lambda: (x, y), lambda: status, F.when(status == "dentro_tolerancia", penalties["plate_tolerance"]).otherwise(0.0), status.isin("solo_en_uno", "difiere"))
 
 
 def _complement(a: Column, b: Column, penalties: dict) -> Comparison:
@@ -82,23 +83,28 @@ def _complement(a: Column, b: Column, penalties: dict) -> Comparison:
     none_a, none_b = F.size(x) == 0, F.size(y) == 0
     status = F.when(none_a & none_b, "ausente_en_ambos").when(x == y, "igual").when(none_a | none_b, "solo_en_uno").otherwise("difiere")
     price = F.when(opaque(x) | opaque(y), penalties["one_sided"]).otherwise(penalties["complement_one_sided"])
-    return Comparison("complement", show_complement(x), show_complement(y), status, F.when(status == "solo_en_uno", price).otherwise(0.0), status == "difiere")
+    return Comparison("complement", lambda: (show_complement(x), show_complement(y)), lambda: status, F.when(status == "solo_en_uno", price).otherwise(0.0), status == "difiere")
+
+
+def vetoing(a: Column, b: Column, tolerance: int = TOLERANCE, penalties: dict = PENALTIES) -> list[Comparison]:
+    """The fields that can veto."""
+    hard = [_compared(a, b, f, None, ~a[f].eqNullSafe(b[f])) for f in HARD_FIELDS]
+    return [*hard, _plate(a, b, tolerance, penalties), _complement(a, b, penalties)]
+
+
+def _compared(a: Column, b: Column, f: str, penalty: Column | None, veto: Column | None) -> Comparison:
+    return Comparison(f, lambda: (a[f], b[f]), lambda: _status(a[f], b[f]), penalty, veto)
 
 
 def comparisons(a: Column, b: Column, tolerance: int = TOLERANCE, penalties: dict = PENALTIES) -> list[Comparison]:
     """The 16 fields, in the order in which their penalties multiply."""
-    out = []
-    for f in HARD_FIELDS:
-        out.append(Comparison(f, a[f], b[f], _status(a[f], b[f]), None, ~a[f].eqNullSafe(b[f])))
-    out += [_plate(a, b, tolerance, penalties), _complement(a, b, penalties)]
-    for f in SOFT_FIELDS:
-        out.append(Comparison(f, a[f], b[f], _status(a[f], b[f]), _priced(a[f], b[f], penalties["one_sided"], penalties["conflict"]), None))
+    out = vetoing(a, b, tolerance, penalties)
+    out += [_compared(a, b, f, _priced(a[f], b[f], penalties["one_sided"], penalties["conflict"]), None) for f in SOFT_FIELDS]
     for f in BIS_FIELDS:
-        x, y = F.when(a[f], "BIS"), F.when(b[f], "BIS")
-        out.append(Comparison(f, x, y, _status(x, y), F.when(a[f] == b[f], 0.0).otherwise(penalties["one_sided"]), None))
+        both = lambda f=f: (F.when(a[f], "BIS"), F.when(b[f], "BIS"))
+        out.append(Comparison(f, both, lambda both=both: _status(*both()), F.when(a[f] == b[f], 0.0).otherwise(penalties["one_sided"]), None))
     f = "cross_type"
-    out.append(Comparison(f, a[f], b[f], _status(a[f], b[f]), _priced(a[f], b[f], penalties["cross_type_one_sided"], penalties["cross_type_conflict"]), None))
-    return out
+    return out + [_compared(a, b, f, _priced(a[f], b[f], penalties["cross_type_one_sided"], penalties["cross_type_conflict"]), None)]
 
 
 def rounded(product: Column) -> Column:
@@ -108,7 +114,7 @@ def rounded(product: Column) -> Column:
 
 
 def vetoed(a: Column, b: Column, tolerance: int = TOLERANCE) -> Column:
-    either = reduce(lambda x, y: x | y, (c.veto for c in comparisons(a, b, tolerance)[:5]))
+    either = reduce(lambda x, y: x | y, (c.veto for c in vetoing(a, b, tolerance)))
     return ~(a["parse_ok"] & b["parse_ok"]) | either
 
 
@@ -116,7 +122,7 @@ def score(a: Column, b: Column, tolerance: int = TOLERANCE, penalties: dict = PE
     """The score alone; 0 for a veto."""
     all_ = comparisons(a, b, tolerance, penalties)
     veto = ~(a["parse_ok"] & b["parse_ok"]) | reduce(lambda x, y: x | y, (c.veto for c in all_[:5]))
-    product = reduce(lambda x, y: x * y, (F.lit(1.0) - c.penalty for c in all_), F.lit(1.0))
+    product = reduce(lambda x, y: x * y, (F.lit(1.0) - c.penalty for c in all_ if c.penalty is not None), F.lit(1.0))
     return F.when(veto, 0.0).otherwise(rounded(product))
 
 
