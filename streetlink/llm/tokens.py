@@ -14,6 +14,7 @@ from functools import lru_cache
 import numpy as np
 import regex
 import tiktoken
+import xxhash
 
 #: The byte-level pre-tokenizer's pattern.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -176,19 +177,29 @@ class Transducer:
         self.next[state][byte] = out
         return out
 
-    def count(self, piece: bytes) -> int:
+    def room(self) -> None:
+        """Drop the compiled states if there are too many; numbers of states given out before are void then."""
         if len(self.states) > self.STATES:
             self.clear()
-        state = total = 0
-        table = self.next
+
+    def run(self, piece: bytes, state: int = 0) -> tuple[int, int]:
+        """(state reached, tokens added) of reading a piece, or the rest of one, from a state."""
+        total, table = 0, self.next
         for b in piece:
             state, added, _ = table[state].get(b) or self.step(state, b)
             total += added
-        return total
+        return state, total
+
+    def key(self, state: int) -> str:
+        """A name of a state that is the same in every process."""
+        return xxhash.xxh3_128_hexdigest(repr(self.states[state]).encode())
+
+    def count(self, piece: bytes) -> int:
+        self.room()
+        return self.run(piece)[1]
 
     def spell(self, piece: bytes) -> list[int]:
-        if len(self.states) > self.STATES:
-            self.clear()
+        self.room()
         state, last, table = 0, [], self.next
         for b in piece:
             state, _, token = table[state].get(b) or self.step(state, b)
@@ -202,7 +213,6 @@ class Transducer:
 
 #: Between a character that isn't white space and one that is, a piece always ends.
 BORDER = regex.compile(r"\S(?=\s)")
-LAST_BORDER = regex.compile(r"(?r)\S(?=\s)")
 BLOCK = 1 << 20
 SHORT = 1 << 15
 
@@ -262,6 +272,7 @@ class Encoder:
         if self.vocab.plain():
             self.compiled = tiktoken.Encoding("compiled", pat_str=PIECES, mergeable_ranks=self.vocab.ids, special_tokens={})
         self.spelled, self.counted = _Spelled(self.vocab), _Counted(self.machine)
+        self.marks = regex.compile("|".join(map(regex.escape, self.special)) or "(?!)")
 
     def _parts(self, text: str, size: int = BLOCK):
         """(special string or None, text) in order."""
