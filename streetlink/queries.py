@@ -11,30 +11,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import queries_pairs as more
+from . import queries_grammar, queries_pairs
 from .functions.render import render, show_complement
 from .functions.text import clean
 from .operators.classify import note_family
 from .operators.compare import match_parsed
 from .operators.link import block_base, index_stats, link, link_summary, parse_queries
 from .operators.parse import parse
-from .sources.tables import read_table
+from .sources.tables import over
 from .synthetic import BASE, QUERIES, block_sql, score_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def over(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """Run SQL over the tables it names, without leaving views behind."""
-    tables = {}
-    for name in ("customer", "orders", "labels", "nation"):
-        for word in ("FROM", "JOIN"):
-            if f"{word} {name}" in sql:
-                sql = sql.replace(f"{word} {name}", f"{word} {{{name}}}")
-                tables[name] = read_table(spark, sf_dir, name)
-    return spark.sql(sql, **tables)
-
-
 def base_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return over(spark, sf_dir, BASE).select("record_id", "raw")
 
@@ -118,9 +107,8 @@ def render_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def own_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each query with its own customer's record, both parsed."""
-    q = over(spark, sf_dir, QUERIES).select("query_id", "raw")
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("query_id"), F.col("o_custkey").alias("record_id"))
-    pairs = parse(q, "raw", "a").drop("raw").join(o, "query_id")
+    q = over(spark, sf_dir, QUERIES).select("query_id", F.col("own_id").alias("record_id"), "raw")
+    pairs = parse(q, "raw", "a").drop("raw")
     return pairs.join(parse(base_rows(spark, sf_dir), "raw", "b").drop("raw"), "record_id")
 
 
@@ -238,7 +226,7 @@ def queries() -> dict[str, Query]:
         "match_reason": match_reason, "match_warnings": match_warnings, "link_exact": link_exact, "link_tolerance": link_tolerance,
         "link_wide_band": link_wide_band, "link_block_cap": link_block_cap, "link_best": link_best, "link_topk": link_topk, "index_stats": stats_of_index,
     }
-    return own | more.queries()
+    return own | queries_grammar.queries() | queries_pairs.queries()
 
 
 def oracle_sql() -> dict[str, str]:
@@ -262,4 +250,4 @@ def oracle_sql() -> dict[str, str]:
         "link_topk": f"WITH {_links_sql(0.7, 1)} SELECT query_id, record_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, record_id) AS rank FROM pairs WHERE hit) WHERE rank <= 3",
         "index_stats": _STATS,
     }
-    return own | more.oracle_sql()
+    return own | queries_grammar.oracle_sql() | queries_pairs.oracle_sql()

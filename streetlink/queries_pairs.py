@@ -16,6 +16,7 @@ from .operators import classify, labels, measure, pairs, transforms, variants
 from .operators.compare import score
 from .operators.link import block_base, link, link_summary, parse_queries
 from .operators.parse import parse
+from .sources.tables import over
 from .synthetic import BASE, QUERIES, score_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,14 +33,8 @@ FROM (SELECT c_custkey AS rid, c_nationkey AS n, v, CASE WHEN v = 11 THEN 'KR' E
   FROM (SELECT c_custkey, c_nationkey, CAST(floor(c_custkey / 72) AS BIGINT) % 13 AS v FROM customer) c) d"""
 
 
-def _over(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    from .queries import over
-
-    return over(spark, sf_dir, sql)
-
-
 def grid(spark: SparkSession, sf_dir: str, all_rows: bool = False) -> DataFrame:
-    rows = parse(_over(spark, sf_dir, GRID).select("rid", "raw"), "raw", "p")
+    rows = parse(over(spark, sf_dir, GRID).select("rid", "raw"), "raw", "p")
     return rows if all_rows else rows.filter("p.parse_ok")
 
 
@@ -182,7 +177,7 @@ _SHAPES = """SELECT c_custkey AS id, CASE c_custkey % 3 WHEN 0 THEN concat('Cra
 
 
 def shape_signature_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shapes = _over(spark, sf_dir, _SHAPES).select(classify.shape_signature(F.col("raw")).alias("shape"))
+    shapes = over(spark, sf_dir, _SHAPES).select(classify.shape_signature(F.col("raw")).alias("shape"))
     return shapes.groupBy("shape").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "shape").limit(25)
 
 
@@ -200,12 +195,12 @@ def _cases(values) -> str:
 
 
 def failure_causes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _over(spark, sf_dir, f"SELECT c_custkey AS id, {_cases(_CAUSES)} AS raw FROM customer")
+    rows = over(spark, sf_dir, f"SELECT c_custkey AS id, {_cases(_CAUSES)} AS raw FROM customer")
     return classify.failure_causes(rows, "raw").groupBy("cause").agg(F.count(F.lit(1)).alias("n"))
 
 
 def pair_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _over(spark, sf_dir, GRID).select("rid", "raw", F.concat("raw", F.lit("\x1f"), F.col("n").cast("string")).alias("x"))
+    rows = over(spark, sf_dir, GRID).select("rid", "raw", F.concat("raw", F.lit("\x1f"), F.col("n").cast("string")).alias("x"))
     return rows.select("rid", classify.pair_id("cand", F.col("x"), F.concat(F.lit("CL 1 # 2 - 3\x1f"), F.col("rid").cast("string"))).alias("pair_id"))
 
 
@@ -214,7 +209,7 @@ _PAIR_IDS = f"""SELECT rid, 'cand-' || substr(sha1('cand' || chr(30) || least(x,
 
 
 def split_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _over(spark, sf_dir, GRID).select("rid", classify.split_address(F.col("raw")).alias("s"))
+    rows = over(spark, sf_dir, GRID).select("rid", classify.split_address(F.col("raw")).alias("s"))
     return rows.select("rid", "s.via_type", "s.via", "s.cross", "s.plate", "s.complement")
 
 
@@ -230,7 +225,7 @@ _LABELS = """SELECT doc_id, 'p' || doc_id AS pair_id, CASE WHEN doc_id % 5 = 4 T
 
 
 def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _over(spark, sf_dir, _LABELS)
+    rows = over(spark, sf_dir, _LABELS)
     both = parse(parse(rows.select("pair_id", "kind", "grp", "transform", "builtin", "addr_a", "addr_b"), "addr_a", "a"), "addr_b", "b")
     frozen = rows.filter("frozen").select("pair_id", F.lit(0.95).alias("score"))
     return labels.merge_labels(both, rows.select("pair_id", "same_door", "same_unit"), frozen, score(F.col("a"), F.col("b")))
@@ -281,7 +276,7 @@ def _link_quality_sql() -> str:
 
 
 def hash_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs.sample_rows(_over(spark, sf_dir, GRID).select("rid", "raw"), "rid", 100, seed=42)
+    return pairs.sample_rows(over(spark, sf_dir, GRID).select("rid", "raw"), "rid", 100, seed=42)
 
 
 def sampled_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -311,13 +306,13 @@ def symmetry_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def random_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _over(spark, sf_dir, GRID).select("rid", "raw", "n")
+    rows = over(spark, sf_dir, GRID).select("rid", "raw", "n")
     return pairs.random_negatives(rows, "n", "raw", 30, seed=20260926).select("rid_a", "rid_b", "raw_a", "raw_b")
 
 
 def transform_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many transformed spellings of each kind still match, by kind."""
-    rows = transforms.synthetic_positives(_over(spark, sf_dir, GRID).filter("not bad").select("raw").distinct(), "raw", seed=20260926)
+    rows = transforms.synthetic_positives(over(spark, sf_dir, GRID).filter("not bad").select("raw").distinct(), "raw", seed=20260926)
     both = parse(parse(rows, "addr_a", "a"), "addr_b", "b").withColumn("score", score(F.col("a"), F.col("b")))
     return both.groupBy("transform").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("score") >= 0.9).alias("hit"))
 

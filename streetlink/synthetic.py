@@ -82,7 +82,7 @@ FROM ({_address(_BASE_KEYS)}) c WHERE k % 10 = 0 AND NOT bad"""
 
 #: a query: the order's customer's address, as it is or with one field changed
 QUERIES = f"""
-SELECT o_orderkey AS query_id, vt, vn,
+SELECT o_orderkey AS query_id, o_custkey AS own_id, vt, vn,
   CASE WHEN o_orderkey % 8 = 6 THEN 'C' ELSE vl END AS vl, vs, vb, vq,
   CASE WHEN o_orderkey % 8 = 7 AND cn IS NOT NULL THEN CASE WHEN ct IS NULL THEN 'CL' END ELSE ct END AS ct, cn,
   CASE WHEN o_orderkey % 8 = 5 THEN pl + 1 ELSE pl END AS pl, pc,
