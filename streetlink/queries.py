@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import queries_grammar, queries_pairs
+from . import queries_grammar, queries_pairs, queries_transforms
 from .functions.render import render, show_complement
 from .functions.text import clean
 from .operators.classify import note_family
@@ -226,7 +226,7 @@ def queries() -> dict[str, Query]:
         "match_reason": match_reason, "match_warnings": match_warnings, "link_exact": link_exact, "link_tolerance": link_tolerance,
         "link_wide_band": link_wide_band, "link_block_cap": link_block_cap, "link_best": link_best, "link_topk": link_topk, "index_stats": stats_of_index,
     }
-    return own | queries_grammar.queries() | queries_pairs.queries()
+    return own | queries_grammar.queries() | queries_pairs.queries() | queries_transforms.queries()
 
 
 def oracle_sql() -> dict[str, str]:
@@ -250,4 +250,4 @@ def oracle_sql() -> dict[str, str]:
         "link_topk": f"WITH {_links_sql(0.7, 1)} SELECT query_id, record_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, record_id) AS rank FROM pairs WHERE hit) WHERE rank <= 3",
         "index_stats": _STATS,
     }
-    return own | queries_grammar.oracle_sql() | queries_pairs.oracle_sql()
+    return own | queries_grammar.oracle_sql() | queries_pairs.oracle_sql() | queries_transforms.oracle_sql()

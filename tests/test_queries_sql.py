@@ -9,7 +9,7 @@ import pytest
 from streetlink import queries
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["grammar_fields", "grammar_canonical", "grammar_notes", "grammar_note_families", "grammar_scores", "link_struct_order", "parse_fields", "match_reason", "link_exact"]
+NAMES = ["grammar_fields", "grammar_canonical", "grammar_notes", "grammar_note_families", "grammar_scores", "link_struct_order", "transform_texts", "parse_fields", "match_reason", "link_exact"]
 
 
 @pytest.fixture(scope="module")
