@@ -79,6 +79,31 @@ def strata_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.with_scores(pools).groupBy("stratum", "subtype").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("score") >= 0.9).alias("at_or_above"))
 
 
+def _near_sql(keys: tuple[str, ...], on: str) -> str:
+    """Pairs of a group that are at most 64 places apart in the order of a hash."""
+    placed = f"(SELECT *, row_number() OVER (PARTITION BY {', '.join(keys)} ORDER BY md5(concat('0:', rid)), rid) AS place FROM g)"
+    return f"SELECT a.rid AS rid_a, b.rid AS rid_b FROM {placed} a JOIN {placed} b ON {_EQ(*keys)} AND b.place - a.place BETWEEN 1 AND 64 AND {on}"
+
+
+def _strata_sql() -> str:
+    bare = lambda sql: "SELECT rid_a, rid_b FROM (" + sql + ")"
+    base, cut_at = ("vt", "vn", "ct", "cn", "pl", "pc"), "(SELECT *, row_number() OVER (PARTITION BY vt, vn ORDER BY md5(concat('1:', rid)), rid) AS place FROM every_row)"
+    pools = [
+        ("complement_one_sided", "all", 4000, _near_sql(base, "(a.tail = '') <> (b.tail = '')")),
+        ("cross_type_presence", "all", 4000, _near_sql(("vt", "vn", "cn", "pl", "pc", "tail"), "(a.ct IS NULL) <> (b.ct IS NULL)")),
+        ("plate_letter", "all", 4000, _near_sql(("vt", "vn", "ct", "cn", "tail", "pl"), "a.pl IS NOT NULL AND a.pc IS DISTINCT FROM b.pc")),
+        ("adjacent_or_swap", "adjacent_plate", 2000, bare(_ADJACENT)),
+        ("adjacent_or_swap", "via_number_swap", 2000, bare(_SWAP)),
+        ("same_base_diff_complement", "all", 4000, _near_sql(base, "a.tail <> '' AND b.tail <> '' AND a.tail <> b.tail")),
+        ("opaque_or_degenerate", "missing_plate", 1333, bare(_first_others_sql(_EQ("vt", "vn", "cn"), "a.pl IS NULL"))),
+        ("opaque_or_degenerate", "opaque_complement", 1333, bare(_first_others_sql(_EQ(*base), "a.opq"))),
+        ("opaque_or_degenerate", "truncated_unparsed", 1333, f"SELECT a.rid AS rid_a, b.rid AS rid_b FROM {cut_at} a JOIN {cut_at} b ON a.bad AND a.vt = b.vt AND a.vn = b.vn AND a.rid <> b.rid AND b.place <= CASE WHEN a.place <= 6 THEN 7 ELSE 6 END"),
+    ]
+    every = " UNION ALL ".join(f"SELECT DISTINCT '{stratum}' AS stratum, '{subtype}' AS subtype, {cap} AS cap, least(rid_a, rid_b) AS lo, greatest(rid_a, rid_b) AS hi FROM ({sql})" for stratum, subtype, cap, sql in pools)
+    return f"""WITH every_row AS ({GRID}), {_G}, drawn AS (SELECT *, row_number() OVER (PARTITION BY stratum, subtype ORDER BY md5(concat_ws(':', '1', lo, hi)), lo, hi) AS r FROM ({every}))
+      SELECT stratum, subtype, count(*) AS n, count(CASE WHEN {_SCORE} >= 0.9 THEN 1 END) AS at_or_above FROM drawn JOIN every_row a ON a.rid = lo JOIN every_row b ON b.rid = hi WHERE r <= cap GROUP BY 1, 2"""
+
+
 def ambiguity_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measure.ambiguity(grid(spark, sf_dir).select("rid", "p"))
 
@@ -352,7 +377,7 @@ def oracle_sql() -> dict[str, str]:
         "cross_type_pairs": _pair_sql(f"{_EQ('vt', 'vn', 'cn', 'pl', 'pc', 'tail')} AND (a.ct IS NULL) <> (b.ct IS NULL) AND a.rid < b.rid"),
         "complement_one_sided_pairs": _pair_sql(f"{_EQ('vt', 'vn', 'ct', 'cn', 'pl', 'pc')} AND (a.tail = '') <> (b.tail = '') AND a.rid < b.rid"),
         "diff_complement_pairs": _pair_sql(f"{_EQ('vt', 'vn', 'ct', 'cn', 'pl', 'pc')} AND a.tail <> '' AND b.tail <> '' AND a.tail <> b.tail AND a.rid < b.rid"),
-        "missing_plate_pairs": _first_others_sql(_EQ("vt", "vn", "cn"), "a.pl IS NULL"), "opaque_pairs": _first_others_sql(_EQ("vt", "vn", "ct", "cn", "pl", "pc"), "a.opq"), "truncated_pairs": _TRUNCATED,
+        "missing_plate_pairs": _first_others_sql(_EQ("vt", "vn", "cn"), "a.pl IS NULL"), "opaque_pairs": _first_others_sql(_EQ("vt", "vn", "ct", "cn", "pl", "pc"), "a.opq"), "truncated_pairs": _TRUNCATED, "strata_counts": _strata_sql(),
         "ambiguity_groups": _AMBIGUITY, "hard_negatives": _HARD, "positive_variants_recall": _VARIANTS, "mutation_outcomes": _mutations_sql(), "threshold_confusion": _confusion_sql(),
         "score_histogram": _histogram_sql(), "shape_signature_top": _SHAPES_SQL, "failure_causes": f"SELECT {_cases(_CAUSES.values())} AS cause, count(*) AS n FROM customer GROUP BY 1", "coverage_causes": _COVERAGE,
         "pair_ids": _PAIR_IDS, "split_addresses": _SPLIT, "labels_eval": _LABELS_EVAL, "labels_coverage": _LABELS_COVERAGE, "link_quality": _link_quality_sql(),
