@@ -68,7 +68,7 @@ def _first_others_sql(on: str, left: str) -> str:
 
 
 def truncated_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs.truncated_unparsed(grid(spark, sf_dir, True), "raw", cap=1_000_000).select("rid_a", "rid_b")
+    return pairs.truncated_unparsed(grid(spark, sf_dir, True), "raw", cap=None).select("rid_a", "rid_b")
 
 
 _TRUNCATED = f"WITH g AS ({GRID}) SELECT a.rid AS rid_a, b.rid AS rid_b FROM g a JOIN g b ON a.bad AND a.vt = b.vt AND a.vn = b.vn AND a.rid <> b.rid"
