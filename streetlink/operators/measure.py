@@ -12,7 +12,7 @@ from ..functions.text import settled
 from ..vocab import KINDS
 from .classify import base_key, classify_pair, differing_fields, failure_causes, note_family, plate_key, shape_signature, signature
 from .compare import match_parsed, score
-from .pairs import group_pairs, sampled_group_pairs
+from .pairs import group_pairs, sampled_group_pairs, weighed_pairs
 
 HIT = 0.90
 CONFIGS = ((0.70, 0), (0.85, 0), (0.90, 0), (0.95, 0), (1.0, 0), (0.90, 1), (0.90, 2))
@@ -126,6 +126,17 @@ def false_links(rows: DataFrame, max_pairs: int | None = None, seed: int = 0) ->
     return scored.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("score") >= HIT).alias("at_or_above"), F.sum("score").alias("total_score"))
 
 
+def _weighed(rows: DataFrame, key: Column, max_pairs: int | None, seed: int) -> DataFrame:
+    """Pairs inside groups with their number n: all of them, those of equal fields as one, or a sample one by one."""
+    if max_pairs is None:
+        return weighed_pairs(rows, key)
+    return _apart(sampled_group_pairs(rows, key, max_pairs, seed), rows).select("p_a", "p_b", F.lit(1).cast("long").alias("n"))
+
+
+def _hits() -> Column:
+    return F.coalesce(F.sum(F.when(F.col("score") >= HIT, F.col("n"))), F.lit(0)).alias("at_or_above")
+
+
 def _apart(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     if "parcel" not in rows.columns:
         return pairs
@@ -152,12 +163,12 @@ def hard_negatives(rows: DataFrame, max_pairs: int | None = None, seed: int = 0)
     out = []
     for label, side in (("same_via_same_plate_other_cross", "via"), ("same_cross_same_plate_other_via", "cross")):
         key = F.struct(signature(F.col("p"), side).alias("s"), plate_key(F.col("p")).alias("k"))
-        pairs = group_pairs(rows, key) if max_pairs is None else sampled_group_pairs(rows, key, max_pairs // 2, seed)
-        told = _apart(pairs, rows).withColumn("category", settled(classify_pair(F.col("p_a"), F.col("p_b"))))
+        pairs = _weighed(rows, key, max_pairs if max_pairs is None else max_pairs // 2, seed)
+        told = pairs.withColumn("category", settled(classify_pair(F.col("p_a"), F.col("p_b"))))
         pairs = told.filter("category = 'different_base_other'")
-        out.append(pairs.select(F.lit(label).alias("kind"), score(F.col("p_a"), F.col("p_b")).alias("score")))
+        out.append(pairs.select(F.lit(label).alias("kind"), settled(score(F.col("p_a"), F.col("p_b"))).alias("score"), "n"))
     both = reduce(DataFrame.union, out)
-    return both.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("score") >= HIT).alias("at_or_above"))
+    return both.groupBy("kind").agg(F.sum("n").alias("n"), _hits()).filter("n > 0")
 
 
 def hard_negative_fields(pairs: DataFrame) -> DataFrame:

@@ -1,9 +1,13 @@
 """Pairs of large groups: all of them, with results that do not need a row for each."""
 
+from collections import Counter
+from itertools import combinations
+
 from pyspark.sql import functions as F
 
 from streetlink import queries_pairs
-from streetlink.operators import pairs
+from streetlink.operators import classify, measure, pairs
+from streetlink.operators.compare import score
 from streetlink.operators.parse import parse
 
 
@@ -19,3 +23,53 @@ def test_truncated_pairs_have_no_cap(spark, monkeypatch):
     monkeypatch.setattr(pairs, "truncated_unparsed", lambda rows, column, cap: asked.update(cap=cap) or rows.select(F.col("rid").alias("rid_a"), F.col("rid").alias("rid_b")))
     queries_pairs.truncated_pairs(spark, "/root/testdata/sf0.001")
     assert asked == {"cap": None}
+
+
+KINDS = ["CL 1 # 2 - 10", "calle 1 # 2 - 10", "CL 1 # AV 2 - 10", "CL 1 # 2 - 10 AP 5", "CL 1 # 2 - 10 AP 6", "CL 1 # 3 - 10", "KR 1 # 2 - 10", "CL 1 # 2 - 11", "CL 1 # 2", "CL 1 # 2 - 010", "CL 1 # 2 - 10 8C"]
+
+
+def _records(spark):
+    """Copies, rows of one rid, rows without rid, parcels in common and unknown ones."""
+    rows = [(i % 55 if i % 9 else None, KINDS[i * i % len(KINDS)] if i % 2 else KINDS[i % len(KINDS)], None if i % 4 == 0 else i % 5) for i in range(80)]
+    return parse(spark.createDataFrame(rows, "rid bigint, raw string, parcel bigint"), "raw", "p").filter("p.parse_ok")
+
+
+def _told(spark, rows, key):
+    """(category, score, n) of the pairs of a group, one by one."""
+    told = rows.select("rid", "parcel", "p", F.to_json(F.struct(key.alias("k")), {"ignoreNullFields": "false"}).alias("key"), key.isNotNull().alias("has")).collect()
+    couples = [(a.p, b.p) for a, b in combinations(told, 2) if a.has and a.key == b.key and None not in (a.rid, b.rid) and a.rid != b.rid and (None in (a.parcel, b.parcel) or a.parcel != b.parcel)]
+    df = spark.createDataFrame(couples, _couple(rows))
+    return Counter((r.category, r.score) for r in df.select(classify.classify_pair(F.col("p_a"), F.col("p_b")).alias("category"), score(F.col("p_a"), F.col("p_b")).alias("score")).collect())
+
+
+def _couple(rows):
+    p = rows.schema["p"].dataType.simpleString()
+    return f"p_a {p}, p_b {p}"
+
+
+def _hard(spark, rows):
+    want = {}
+    for kind, side in (("same_via_same_plate_other_cross", "via"), ("same_cross_same_plate_other_via", "cross")):
+        told = _told(spark, rows, F.struct(classify.signature(F.col("p"), side).alias("s"), classify.plate_key(F.col("p")).alias("k")))
+        other = [(s, n) for (c, s), n in told.items() if c == "different_base_other"]
+        want[kind] = (sum(n for _, n in other), sum(n for s, n in other if s >= 0.9))
+    return want
+
+
+def test_hard_negatives_equal_pairs_one_by_one(spark):
+    rows = _records(spark)
+    want = _hard(spark, rows)
+    assert {r.kind: (r.n, r.at_or_above) for r in measure.hard_negatives(rows.select("rid", "p", "parcel")).collect()} == want
+    assert all(n for n, _ in want.values())
+
+
+def _copies(spark, n):
+    """n rows of each of three addresses."""
+    rows = parse(spark.createDataFrame([(i, t) for i, t in enumerate(("CL 1 # 2 - 10", "CL 1 # AV 2 - 10", "CL 1 # 2 - 10 AP 5"))], "k bigint, raw string"), "raw", "p")
+    return spark.range(n).crossJoin(rows).select((F.col("id") * 3 + F.col("k")).alias("rid"), "p")
+
+
+def test_hard_negatives_of_copies(spark):
+    n = 100_000  # 45 billion pairs, one by one
+    got = {r.kind: (r.n, r.at_or_above) for r in measure.hard_negatives(_copies(spark, n)).collect()}
+    assert got == {"same_via_same_plate_other_cross": (2 * n * n, 2 * n * n)}
