@@ -12,7 +12,7 @@ from ..functions.text import settled
 from ..vocab import KINDS
 from .classify import base_key, classify_pair, differing_fields, failure_causes, note_family, plate_key, shape_signature, signature
 from .compare import match_parsed, score
-from .pairs import group_pairs, sampled_group_pairs, weighed_pairs
+from .pairs import sampled_group_pairs, weighed_pairs
 
 HIT = 0.90
 CONFIGS = ((0.70, 0), (0.85, 0), (0.90, 0), (0.95, 0), (1.0, 0), (0.90, 1), (0.90, 2))
@@ -120,10 +120,9 @@ def false_links(rows: DataFrame, max_pairs: int | None = None, seed: int = 0) ->
     rows: rid, p of addresses that parse, and optionally parcel; pairs of the
     same parcel do not count. Without max_pairs all pairs are taken.
     """
-    pairs = group_pairs(rows, face_key()) if max_pairs is None else sampled_group_pairs(rows, face_key(), max_pairs, seed)
-    pairs = _apart(pairs, rows)
-    scored = pairs.select(classify_pair(F.col("p_a"), F.col("p_b")).alias("category"), score(F.col("p_a"), F.col("p_b")).alias("score"))
-    return scored.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("score") >= HIT).alias("at_or_above"), F.sum("score").alias("total_score"))
+    pairs = _weighed(rows, face_key(), max_pairs, seed)
+    scored = pairs.select(settled(classify_pair(F.col("p_a"), F.col("p_b"))).alias("category"), settled(score(F.col("p_a"), F.col("p_b"))).alias("score"), "n")
+    return scored.groupBy("category").agg(F.sum("n").alias("n"), _hits(), F.sum(F.col("score") * F.col("n")).alias("total_score")).filter("n > 0")
 
 
 def _weighed(rows: DataFrame, key: Column, max_pairs: int | None, seed: int) -> DataFrame:

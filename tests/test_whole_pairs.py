@@ -73,3 +73,20 @@ def test_hard_negatives_of_copies(spark):
     n = 100_000  # 45 billion pairs, one by one
     got = {r.kind: (r.n, r.at_or_above) for r in measure.hard_negatives(_copies(spark, n)).collect()}
     assert got == {"same_via_same_plate_other_cross": (2 * n * n, 2 * n * n)}
+
+
+def test_same_face_pairs_equal_pairs_one_by_one(spark):
+    rows = _records(spark)
+    want = {}
+    for (category, s), n in _told(spark, rows, measure.face_key()).items():
+        m, high, total = want.get(category, (0, 0, 0.0))
+        want[category] = (m + n, high + n * (s >= 0.9), round(total + n * s, 6))
+    assert {r.category: (r.n, r.at_or_above, round(r.total_score, 6)) for r in measure.false_links(rows.select("rid", "p", "parcel")).collect()} == want
+    assert len(want) == 4
+
+
+def test_same_face_pairs_of_copies(spark):
+    n = 100_000
+    got = {r.category: (r.n, r.at_or_above) for r in measure.false_links(_copies(spark, n)).collect()}
+    same = n * (n - 1) // 2
+    assert got == {"same_base_same_complement": (3 * same, 3 * same), "same_base_one_side_bare": (n * n, n * n)}
