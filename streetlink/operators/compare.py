@@ -67,6 +67,11 @@ def opaque(chunks: Column) -> Column:
     return F.exists(chunks, lambda c: ~c["kind"].isin(list(KINDS)) | c["value"].rlike(empty))
 
 
+#: One side of a comparison: a struct made by ``parse``, or its fields each as a column, with
+#: ``opaque`` computed and the complement in any form of array that is equal when it is.
+Side = Column | dict[str, Column]
+
+
 def _plate(a: Column, b: Column, tolerance: int, penalties: dict) -> Comparison:
     x, y = a["plate"], b["plate"]
     near = F.abs(a["plate_num"] - b["plate_num"])
@@ -82,7 +87,8 @@ def _complement(a: Column, b: Column, penalties: dict) -> Comparison:
     x, y = a["complement"], b["complement"]
     none_a, none_b = F.size(x) == 0, F.size(y) == 0
     status = F.when(none_a & none_b, "ausente_en_ambos").when(x == y, "igual").when(none_a | none_b, "solo_en_uno").otherwise("difiere")
-    price = F.when(opaque(x) | opaque(y), penalties["one_sided"]).otherwise(penalties["complement_one_sided"])
+    odd = lambda p: p["opaque"] if isinstance(p, dict) else opaque(p["complement"])
+    price = F.when(odd(a) | odd(b), penalties["one_sided"]).otherwise(penalties["complement_one_sided"])
     return Comparison("complement", lambda: (show_complement(x), show_complement(y)), lambda: status, F.when(status == "solo_en_uno", price).otherwise(0.0), status == "difiere")
 
 
@@ -96,7 +102,7 @@ def _compared(a: Column, b: Column, f: str, penalty: Column | None, veto: Column
     return Comparison(f, lambda: (a[f], b[f]), lambda: _status(a[f], b[f]), penalty, veto)
 
 
-def comparisons(a: Column, b: Column, tolerance: int = TOLERANCE, penalties: dict = PENALTIES) -> list[Comparison]:
+def comparisons(a: Side, b: Side, tolerance: int = TOLERANCE, penalties: dict = PENALTIES) -> list[Comparison]:
     """The 16 fields, in the order in which their penalties multiply."""
     out = vetoing(a, b, tolerance, penalties)
     out += [_compared(a, b, f, _priced(a[f], b[f], penalties["one_sided"], penalties["conflict"]), None) for f in SOFT_FIELDS]
@@ -126,6 +132,11 @@ def score(a: Column, b: Column, tolerance: int = TOLERANCE, penalties: dict = PE
     return F.when(veto, 0.0).otherwise(rounded(product))
 
 
+def reaches(product: Column, threshold: float) -> Column:
+    """Whether the rounded product is at least the threshold; rounding is slow and done only near it."""
+    return (product >= threshold + 1e-4) | ((product >= threshold - 1e-4) & (rounded(product) >= threshold))
+
+
 def warnings(a: Column, b: Column) -> Column:
     none = F.array().cast("array<string>")
     told = F.array_compact(F.array(
